@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spanforge.llm.mixing import Mix
 from spanforge.llm.ocr_runs import runs
 from spanforge.llm.packing import packed, split_documents
+from spanforge.llm.pair_defects import pair_defects
 from spanforge.llm.turns import turn_texts, turns
 from spanforge.tables import table
 
@@ -19,6 +20,10 @@ def p2_runs(spark: SparkSession, sf: str) -> DataFrame:
     return runs(table(spark, sf, "ocr_spans"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pair_defects(table(spark, sf, "completions"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return turns(table(spark, sf, "speech_spans")).select("video_id", "first_ord", "last_ord")
 
@@ -51,7 +56,7 @@ def p7_chosen(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf).chosen()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_runs, p5_found, p5_turns, p6_found, p6_contexts, p7_found, p7_shares, p7_chosen)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_runs, p4_found, p5_found, p5_turns, p6_found, p6_contexts, p7_found, p7_shares, p7_chosen)}
 
 ORACLE = {
     # runs of equal texts after normalising, the edit distance by DuckDB's levenshtein

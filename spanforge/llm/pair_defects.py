@@ -213,7 +213,8 @@ def defect_of(prompt: str | None, response: str | None, model: LinearChain) -> s
     for (part, _), label in zip(parts, labels):
         cover[label] += len(part)
     total = sum(cover.values())
-    if labels[-1] == "unfinished":
+    stopped = re.search(r"[.!?…][\s*_\"'»”)`]*$", parts[-1][0])
+    if labels[-1] == "unfinished" and (flags or not stopped):  # a clause that ends in a full stop is not broken off
         return "truncated"
     if cover["refusal"] >= 0.5 * total:
         return "refusal"

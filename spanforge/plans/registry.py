@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("data_queries",)
-FLAGSHIP = "p1_found"
+MODULES = ("data_queries", "memory_queries", "trajectory_queries")
+FLAGSHIP = "tk1_search"
 
 
 def _parts() -> list:

@@ -213,7 +213,7 @@ def tk4_answer_evidence(spark: SparkSession, sf: str) -> DataFrame:
 def jn9_new_evidence(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "speech_spans").filter("text is not null").dropDuplicates(["video_id", "ord"])
     rows = s.select("video_id", "ord", F.lit("speech").alias("modality"), F.col("span_start").alias("s"), F.col("span_end").alias("e"), F.col("text").alias("detail"))
-    return ev.new_evidence(rows, rows.filter("ord % 2 = 0").withColumn("detail", F.upper("detail"))).select("video_id", "ord")
+    return ev.new_evidence(rows, rows.filter("ord % 2 = 0").withColumn("detail", F.regexp_replace("detail", " ", "  "))).select("video_id", "ord")
 
 
 def _steps(spark: SparkSession, sf: str) -> DataFrame:

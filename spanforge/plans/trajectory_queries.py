@@ -291,8 +291,8 @@ ORACLE = {
         select run_id, iteration, tokens, cast(floor(token_limit * 0.85) as bigint) as threshold, token_limit, tokens >= cast(floor(token_limit * 0.85) as bigint) as compact from t""",
     "wn1_error_streaks": f"""with e as (select run_id, cast(iteration as bigint) iteration, bool_or({_ERR}) failed from iterations group by 1, 2), g as (select *, sum(case when failed then 0 else 1 end) over (partition by run_id order by iteration rows unbounded preceding) island from e),
         s as (select *, case when failed then row_number() over (partition by run_id, island order by iteration) - case when island > 0 then 1 else 0 end else 0 end streak from g) select run_id, iteration, failed, streak, streak >= 2 as tripped from s""",
-    "wn3_running_limits": f"""with {_C}, s as (select run_id, completion_id, sum(cast(trunc(coalesce(total_cost, 0) * 1e9) as bigint)) over w cost, sum(coalesce(total_input_tokens, 0) + coalesce(total_output_tokens, 0)) over w tokens, sum(cast(trunc(coalesce(execution_time, 0) * 1e6) as bigint)) over w seconds from c window w as (partition by run_id order by completion_id rows unbounded preceding))
-        select run_id, completion_id, round(cost / 1e9, 6) as cost, tokens, round(seconds / 1e6, 4) as seconds, cost > 50000000 as over_cost, tokens > 20000 as over_tokens, seconds > 60000000 as over_time from s""",
+    "wn3_running_limits": f"""with {_C}, s as (select run_id, completion_id, sum(cast(trunc(coalesce(total_cost, 0) * 1e9) as bigint)) over w xc, sum(coalesce(total_input_tokens, 0) + coalesce(total_output_tokens, 0)) over w xt, sum(cast(trunc(coalesce(execution_time, 0) * 1e6) as bigint)) over w xs from c window w as (partition by run_id order by completion_id rows unbounded preceding))
+        select run_id, completion_id, round(xc / 1e9, 6) as cost, xt as tokens, round(xs / 1e6, 4) as "seconds", xc > 50000000 as over_cost, xt > 20000 as over_tokens, xs > 60000000 as over_time from s""",
     "wn10_history": f"with {_HIST} select run_id, iteration, role, count(*) as messages, sum(length(content)) as characters from h group by 1, 2, 3",
     "sc9_execution_messages": f"with {_HIST} select run_id, iteration, pos, substr(content, 1, 60) as beginning from h where role = 'user'",
     "ct3_compacted": f"with {_HIST}, m as (select * from h where iteration = 1 and pos < 2) select role, count(*) as n from (select role from m union all select 'assistant' from (select distinct run_id from h where iteration = 1) union all select 'user' from (select distinct run_id from h where iteration = 1)) group by 1",

@@ -81,6 +81,19 @@ def _window_of(t: Column, level: str, w: Windows, before: bool) -> Column:
     return (scene * w.per_scene() + segment) * w.per_segment() + clip
 
 
+def _exists(window: Column, level: str, w: Windows) -> Column:
+    """Whether a number is that of a window: where widths do not divide each other, the last segment of
+    a scene and the last clip of a segment are short, and the numbers of the rest are not used."""
+    per = w.per_segment()
+    segment = window if level == "segment" else F.floor(window / per)
+    begin = F.pmod(segment, F.lit(w.per_scene())) * w.segment
+    if level == "scene":
+        return F.lit(True)
+    if level == "segment":
+        return begin < w.scene
+    return begin + F.pmod(window, F.lit(per)) * w.clip < F.least(begin + w.segment, F.lit(w.scene))
+
+
 def node_facts(facts: DataFrame, artifacts: DataFrame, level: str, w: Windows = Windows()) -> DataFrame:
     """facts with window, one row per overlapped window of a level (half-open overlap).
 
@@ -93,7 +106,8 @@ def node_facts(facts: DataFrame, artifacts: DataFrame, level: str, w: Windows =
     first = _window_of(F.greatest(s, F.lit(0.0)), level, w, before=False)
     last = _window_of(F.least(e, F.col("duration")), level, w, before=True)
     rows = rows.withColumn("_first", first).withColumn("_last", last).filter("_first <= _last")
-    return rows.withColumn("window", F.explode(F.sequence(F.col("_first").cast("int"), F.col("_last").cast("int")))).drop("_first", "_last", "duration")
+    rows = rows.withColumn("window", F.explode(F.sequence(F.col("_first").cast("int"), F.col("_last").cast("int"))))
+    return rows.filter(_exists(F.col("window"), level, w)).drop("_first", "_last", "duration")
 
 
 def _joined(text: str, sep: str = " ") -> Column:

@@ -8,6 +8,7 @@ from spanforge.llm.mixing import Mix
 from spanforge.llm.ocr_runs import runs
 from spanforge.llm.packing import packed, split_documents
 from spanforge.llm.pair_defects import pair_defects
+from spanforge.llm.pii import find_items, redacted
 from spanforge.llm.turns import turn_texts, turns
 from spanforge.tables import table
 
@@ -56,7 +57,16 @@ def p7_chosen(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf).chosen()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_runs, p4_found, p5_found, p5_turns, p6_found, p6_contexts, p7_found, p7_shares, p7_chosen)}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = find_items(table(spark, sf, "documents"), table(spark, sf, "name_lexicon"))
+    return found.select("doc_id", "pii_type", "pii_text").distinct()
+
+
+def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return redacted(table(spark, sf, "documents"), table(spark, sf, "name_lexicon"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_runs, p4_found, p5_found, p5_turns, p6_found, p6_contexts, p7_found, p7_shares, p7_chosen, p8_found, p8_redacted)}
 
 ORACLE = {
     # runs of equal texts after normalising, the edit distance by DuckDB's levenshtein

@@ -9,6 +9,8 @@ the earlier ranges forward. That table has at most #entities + #ranges rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +19,15 @@ from spanforge.session import durable, shuffle_width
 RANGE = "_range"
 
 
-def into_ranges(df: DataFrame, key: str, order: list[str], ranges: int | None = None) -> DataFrame:
+def into_ranges(df: DataFrame, key: str, order: list[str], ranges: int | None = None, after: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """df with the column _range: rows of a key are in ascending (order) from range to range.
 
-    The ranges are fixed by a checkpoint: every later reader sees the same ones."""
+    The ranges are fixed by a checkpoint: every later reader sees the same ones. Range
+    partitioning computes its input twice, once for a sample; `after`, a transformation that
+    keeps rows in their partition, therefore does what is expensive behind it, once."""
     n = ranges or shuffle_width(df.sparkSession)
-    return durable(df.repartitionByRange(n, key, *order).withColumn(RANGE, F.spark_partition_id()))
+    parts = df.repartitionByRange(n, key, *order)
+    return durable((after(parts) if after else parts).withColumn(RANGE, F.spark_partition_id()))
 
 
 def inside(key: str, order: list[str]):

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanforge.functions.text import CONTROL_WORDS, FIRST_WORDS, LAST_WORDS, LEMMAS, STOPWORDS, evidence_tokens, hits, occurrences_of_all, one_space, search_tokens, sentences, strings
+from spanforge.functions.text import CONTROL_WORDS, FIRST_WORDS, LAST_WORDS, LEMMAS, STOPWORDS, evidence_tokens, hits, let, occurrences_of_all, one_space, search_tokens, sentences, strings, typed_strings
 
 # The keywords of evidence scoring.
 CAUSAL = ["worried", "lose", "fix", "repair", "open", "clasp"]
@@ -69,46 +69,49 @@ def _some(lower: Column, keywords: list[str]) -> Column:
     return F.exists(strings(keywords), lambda k: F.contains(lower, k))
 
 
-def _typed(values: list[str]) -> Column:
-    return strings(values) if values else F.array().cast("array<string>")
+def _known(text: Column, q: Question) -> Column:
+    """struct<lower, tokens, common>: what the scores look at."""
+    with_tokens = let(evidence_tokens(text), lambda t: F.struct(t.alias("tokens"), F.array_intersect(typed_strings(q.query), t).alias("common")))
+    return let(with_tokens, lambda x: F.struct(F.lower(text).alias("lower"), x["tokens"].alias("tokens"), x["common"].alias("common")))
 
 
 def span_score(text: Column, start: Column, end: Column, duration: Column, q: Question) -> Column:
     """How well a speech span fits a question: overlap and density, causal words for "why", position
     for "first" and "last", less for changes of topic. An empty text scores 0."""
-    clean = one_space(text)
-    tokens, lower = evidence_tokens(clean), F.lower(clean)
-    common = F.array_intersect(_typed(q.query), tokens)
-    score = F.size(common) / max(len(q.query), 1) + occurrences_of_all(lower, common) / F.greatest(F.size(tokens), F.lit(1))
-    causal = hits(lower, tokens, CAUSAL)
-    if q.why:
-        stray = F.contains(lower, F.lit("because")) & (causal == 0) & (F.size(common) < 2)
-        score = score + causal * 0.35 + hits(lower, tokens, SUPPORT) * 0.08 - F.when(stray, 0.2).otherwise(0.0)
-    score = score - hits(lower, None, TOPIC_SHIFT) * 0.25
-    known = F.coalesce(duration, F.lit(0.0)) > 0
-    if q.first:
-        score = score + F.when(known, F.greatest(F.lit(0.0), 1.0 - start / duration) * 0.6).otherwise(0.0)
-    if q.last:
-        score = score + F.when(known, F.greatest(F.lit(0.0), end / duration) * 0.6).otherwise(0.0)
-    return F.when(F.size(tokens) == 0, 0.0).otherwise(F.round(score, 4))
+
+    def rated(d: Column) -> Column:
+        tokens, lower, common = d["tokens"], d["lower"], d["common"]
+        score = F.size(common) / max(len(q.query), 1) + occurrences_of_all(lower, common) / F.greatest(F.size(tokens), F.lit(1))
+        if q.why:
+            causal = hits(lower, tokens, CAUSAL)
+            stray = F.contains(lower, F.lit("because")) & (causal == 0) & (F.size(common) < 2)
+            score = score + causal * 0.35 + hits(lower, tokens, SUPPORT) * 0.08 - F.when(stray, 0.2).otherwise(0.0)
+        score = score - hits(lower, None, TOPIC_SHIFT) * 0.25
+        known = F.coalesce(duration, F.lit(0.0)) > 0
+        if q.first:
+            score = score + F.when(known, F.greatest(F.lit(0.0), 1.0 - start / duration) * 0.6).otherwise(0.0)
+        if q.last:
+            score = score + F.when(known, F.greatest(F.lit(0.0), end / duration) * 0.6).otherwise(0.0)
+        return F.when(F.size(tokens) == 0, 0.0).otherwise(F.round(score, 4))
+
+    return let(_known(one_space(text), q), rated)
 
 
 def why_signal(text: Column) -> Column:
-    return hits(F.lower(text), evidence_tokens(text), CAUSAL) > 0
+    return let(F.struct(F.lower(text).alias("lower"), evidence_tokens(text).alias("tokens")), lambda d: hits(d["lower"], d["tokens"], CAUSAL) > 0)
 
 
 def sentence_rank(parts: Column, q: Question) -> Column:
     """array<struct<score, before, kind>>, one per sentence; array_max takes the best, earlier first."""
     n = F.size(parts)
 
-    def rated(sentence: Column, i: Column) -> Column:
-        tokens, lower = evidence_tokens(sentence), F.lower(sentence)
-        common = F.size(F.array_intersect(_typed(q.query), tokens))
-        causal, support = hits(lower, tokens, CAUSAL), hits(lower, tokens, SENTENCE_SUPPORT)
+    def rated(d: Column, i: Column) -> Column:
+        tokens, lower, common = d["tokens"], d["lower"], F.size(d["common"])
+        causal = hits(lower, tokens, CAUSAL)
         score = (common * 3).cast("double")
         kind = F.lit("generic")
         if q.why:
-            signal = _some(lower, SENTENCE_CAUSAL)
+            support, signal = hits(lower, tokens, SENTENCE_SUPPORT), _some(lower, SENTENCE_CAUSAL)
             score = score + F.when(signal, 8.0).otherwise(0.0) + causal * 4 + support * 2
             kind = F.when(signal, "causal").when(support > 0, "support").otherwise("generic")
         score = score - hits(lower, None, SENTENCE_TOPIC_SHIFT) * 8
@@ -120,7 +123,7 @@ def sentence_rank(parts: Column, q: Question) -> Column:
             score = score + i / F.greatest(n, F.lit(1)) * 2
         return F.struct(score.alias("score"), (-i).alias("before"), kind.alias("kind"))
 
-    return F.transform(parts, rated)
+    return F.transform(parts, lambda sentence, i: let(_known(sentence, q), lambda d: rated(d, i)))
 
 
 def window_around(parts: Column, anchor: Column, before: int, after: int, forward: bool, max_chars: int = MAX_CHARS) -> Column:
@@ -130,57 +133,63 @@ def window_around(parts: Column, anchor: Column, before: int, after: int, forwar
     earlier = F.filter(F.transform(F.sequence(F.lit(1), F.lit(before)), lambda k: anchor - k), lambda i: i >= 0)
     order = F.concat(later, earlier) if forward else F.concat(earlier, later)
     text = lambda chosen: F.array_join(F.transform(F.array_sort(chosen), lambda i: F.element_at(parts, (i + 1).cast("int"))), " ")
-    chosen = F.aggregate(
-        order,
-        F.array(anchor.cast("int")),
-        lambda acc, i: F.when(F.length(text(F.concat(acc, F.array(i.cast("int"))))) <= max_chars, F.concat(acc, F.array(i.cast("int")))).otherwise(acc),
-    )
-    return F.substring(text(chosen), 1, max_chars)
+
+    def step(acc: Column, i: Column) -> Column:
+        return let(F.concat(acc, F.array(i.cast("int"))), lambda more: F.when(F.length(text(more)) <= max_chars, more).otherwise(acc))
+
+    return F.substring(F.aggregate(order, F.array(anchor.cast("int")), step, text), 1, max_chars)
 
 
 def speech_focus(text: Column, q: Question, position: str = "", max_chars: int = MAX_CHARS) -> Column:
     """The part of a speech text that serves as evidence. Short texts stay whole; position 'start' or
     'end' takes the first or last four sentences; else the window around the best sentence, or the
     beginning if no sentence scores or the window loses all the overlap."""
-    clean = one_space(text)
-    parts = sentences(text)
-    head = F.substring(clean, 1, max_chars)
-    if position:
+
+    def of(d: Column) -> Column:
+        clean, parts = d["clean"], d["parts"]
         n = F.size(parts)
-        chosen = F.slice(parts, 1, 4) if position == "start" else F.slice(parts, F.greatest(n - 3, F.lit(1)), F.lit(4))
-        focus = F.substring(F.array_join(chosen, " "), 1, max_chars)
-    else:
-        best = F.array_max(sentence_rank(parts, q))
-        at = -best["before"]
-        if q.first:
-            window = window_around(parts, at, 2, 2, True, max_chars)
-        elif q.last:
-            window = window_around(parts, at, 2, 2, False, max_chars)
+        head = F.substring(clean, 1, max_chars)
+        shared = lambda t: F.size(F.array_intersect(typed_strings(q.query), evidence_tokens(t)))
+
+        def around(best: Column) -> Column:
+            at, window = -best["before"], lambda before, forward: window_around(parts, -best["before"], before, 2, forward, max_chars)
+            if q.first or q.last:
+                chosen = window(2, q.first)
+            elif q.why:
+                chosen = F.when(best["kind"] == "support", window(1, False)).otherwise(window(1, True))
+            else:
+                chosen = window_around(parts, at, 1, 2, True, max_chars)
+            kept = lambda w: F.when((w == "") | (best["score"] <= 0) | ((shared(clean) > 0) & (shared(w) == 0)), head).otherwise(w)
+            return let(chosen, kept)
+
+        if position:
+            ends = F.slice(parts, 1, 4) if position == "start" else F.slice(parts, F.greatest(n - 3, F.lit(1)), F.lit(4))
+            focus = F.substring(F.array_join(ends, " "), 1, max_chars)
         else:
-            plain = window_around(parts, at, 1, 2, True, max_chars)
-            window = F.when(best["kind"] == "support", window_around(parts, at, 1, 2, False, max_chars)).otherwise(plain) if q.why else plain
-        shared = lambda t: F.size(F.array_intersect(_typed(q.query), evidence_tokens(t)))
-        lost = (shared(clean) > 0) & (shared(window) == 0)
-        focus = F.when((window == "") | (best["score"] <= 0) | lost, head).otherwise(window)
-    short = (F.length(clean) <= max_chars) & (F.size(parts) <= 4)
-    return F.when(short | (F.size(parts) == 0), head).otherwise(focus)
+            focus = let(F.array_max(sentence_rank(parts, q)), around)
+        short = (F.length(clean) <= max_chars) & (n <= 4)
+        return F.when(short | (n == 0), head).otherwise(focus)
+
+    return let(F.struct(one_space(text).alias("clean"), sentences(text).alias("parts")), of)
 
 
 def refinement_candidates(text: Column, initial: Column, q: Question, count: int = 3, max_chars: int = MAX_CHARS) -> Column:
     """The distinct snippets offered to a model that picks the evidence: the heuristic one, those
     around the best sentences, the head and the tail."""
-    parts = sentences(text)
-    ranked = F.slice(F.reverse(F.array_sort(sentence_rank(parts, q))), 1, count)
     forward = q.first or not q.last
     before, after = (2, 2) if q.first or q.last else (1, 2)
-    around = F.transform(ranked, lambda r: window_around(parts, -r["before"], before, after, forward, max_chars))
-    n = F.size(parts)
-    ends = F.array(
-        F.substring(F.array_join(F.slice(parts, 1, 3), " "), 1, max_chars),
-        F.substring(F.array_join(F.slice(parts, F.greatest(n - 2, F.lit(1)), F.lit(3)), " "), 1, max_chars),
-    )
-    offered = F.concat(F.array(one_space(initial)), around, ends)
-    return F.filter(F.array_distinct(offered), lambda c: c != "")
+
+    def of(parts: Column) -> Column:
+        ranked = F.slice(F.reverse(F.array_sort(sentence_rank(parts, q))), 1, count)
+        around = F.transform(ranked, lambda r: window_around(parts, -r["before"], before, after, forward, max_chars))
+        n = F.size(parts)
+        ends = F.array(
+            F.substring(F.array_join(F.slice(parts, 1, 3), " "), 1, max_chars),
+            F.substring(F.array_join(F.slice(parts, F.greatest(n - 2, F.lit(1)), F.lit(3)), " "), 1, max_chars),
+        )
+        return F.concat(F.array(one_space(initial)), around, ends)
+
+    return F.filter(F.array_distinct(let(sentences(text), of)), lambda c: c != "")
 
 
 def needs_refinement(text: Column, candidates: Column, q: Question) -> Column:
@@ -228,7 +237,7 @@ def evidence_focus(detail: Column, question: str, max_chars: int = 1200) -> Colu
 
         def rated(snippet: Column, i: Column) -> Column:
             low = F.lower(snippet)
-            score = F.size(F.array_intersect(_typed(list(dict.fromkeys(words))), search_tokens(snippet))) * 3 + hits(low, None, FOCUS_WORDS) * 5
+            score = F.size(F.array_intersect(typed_strings(list(dict.fromkeys(words))), search_tokens(snippet))) * 3 + hits(low, None, FOCUS_WORDS) * 5
             return F.struct((score + F.when(_some(low, FOCUS_CAUSAL), 8).otherwise(0)).alias("score"), (-i).alias("before"), snippet.alias("text"))
 
         excerpt = F.coalesce(F.substring(F.array_max(F.transform(offered, rated))["text"], 1, max_chars), F.substring(clean, 1, max_chars))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanforge.functions.text import FIRST_WORDS, LAST_WORDS, has_any, occurrences_of_all, search_tokens
+from spanforge.functions.text import FIRST_WORDS, LAST_WORDS, has_any, let, occurrences_of_all, search_tokens, typed_strings
 
 LEXICAL_WEIGHT, SEMANTIC_WEIGHT = 0.7, 0.3
 
@@ -14,22 +14,29 @@ def overlap(query_tokens: Column, doc_tokens: Column) -> Column:
     return F.array_sort(F.array_intersect(query_tokens, doc_tokens))
 
 
-def lexical(query: Column, query_tokens: Column, text: Column) -> Column:
-    """Share of query tokens found, plus their density, plus a bonus for the whole phrase; at most 1."""
-    doc_tokens, lower = search_tokens(text), F.lower(text)
-    found = overlap(query_tokens, doc_tokens)
-    ratio = F.size(found) / F.size(query_tokens)
-    density = occurrences_of_all(lower, found) / F.greatest(F.size(doc_tokens), F.lit(1))
-    phrase = F.when(F.contains(lower, F.lower(query)), 0.25).otherwise(0.0)
-    return F.when(F.size(found) > 0, F.round(F.least(F.lit(1.0), ratio + density + phrase), 4)).otherwise(0.0)
+def lexical_match(query: str, tokens: list[str], text: Column) -> Column:
+    """struct<score, terms>: the share of query tokens found, plus their density, plus a bonus for the
+    whole phrase, at most 1; and the tokens found, sorted. Nothing found scores 0."""
+
+    def rated(d: Column) -> Column:
+        def of(found: Column) -> Column:
+            density = occurrences_of_all(d["lower"], found) / F.greatest(F.size(d["tokens"]), F.lit(1))
+            phrase = F.when(F.contains(d["lower"], F.lit(query.lower())), 0.25).otherwise(0.0)
+            score = F.round(F.least(F.lit(1.0), F.size(found) / max(len(tokens), 1) + density + phrase), 4)
+            return F.struct(F.when(F.size(found) > 0, score).otherwise(0.0).alias("score"), found.alias("terms"))
+
+        return let(overlap(typed_strings(tokens), d["tokens"]), of)
+
+    return let(F.struct(F.lower(text).alias("lower"), search_tokens(text).alias("tokens")), rated)
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors, never negative, 0 for a zero vector; vectors of other sizes are an error."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    value = F.when(norms == 0, 0.0).otherwise(F.greatest(F.lit(0.0), dot(a, b) / norms))
-    return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("embedding dimensions differ"))).otherwise(value)
+    zero = F.struct(F.lit(0.0).alias("ab"), F.lit(0.0).alias("aa"), F.lit(0.0).alias("bb"))
+    pairs = F.zip_with(a, b, lambda p, q: F.struct(p.cast("double").alias("p"), q.cast("double").alias("q")))
+    step = lambda s, x: F.struct((s["ab"] + x["p"] * x["q"]).alias("ab"), (s["aa"] + x["p"] * x["p"]).alias("aa"), (s["bb"] + x["q"] * x["q"]).alias("bb"))
+    value = lambda s: F.when(s["aa"] * s["bb"] == 0, 0.0).otherwise(F.greatest(F.lit(0.0), s["ab"] / (F.sqrt(s["aa"]) * F.sqrt(s["bb"]))))
+    return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("embedding dimensions differ"))).otherwise(F.aggregate(pairs, zero, step, value))
 
 
 def temporal(query_tokens: Column, start: Column, end: Column, duration: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,13 +25,29 @@ LEMMAS = {
 }
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, wherever use names it: inside an expression there is no
+    other way to keep a common part from being computed again at each place."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def query_tokens(query: str) -> list[str]:
+    """search_tokens of a query, on the driver: the plan then holds them as constants."""
+    found = [w for w in re.findall(r"\w+", query.lower()) if len(w) > 1 and w not in STOPWORDS]
+    return list(dict.fromkeys(found))
+
+
+def typed_strings(values: list[str]) -> Column:
+    return strings(values) if values else F.array().cast("array<string>")
+
+
 def strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
 def words(text: Column) -> Column:
     """All words of a text in lower case, in order."""
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda w: w)
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1)
 
 
 def search_tokens(text: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from spanforge.functions import scores
 from spanforge.functions.focus import Question, span_score, speech_focus, why_signal
 from spanforge.functions.text import one_space
-from spanforge.operators.memory import child_priority, node_facts, recommended, videos, Windows
+from spanforge.operators.memory import Windows, child_priority, node_facts, recommended, videos
+from spanforge.operators.ordered import running
 
 # How a claim begins.
 CLAIMS = {"speech": "Speech evidence", "visual": "Visual evidence", "ocr": "OCR evidence", "audio": "Audio evidence", "cross_modal": "Merged evidence"}
@@ -142,8 +143,8 @@ def cite(ledger: DataFrame, evidence_ids: DataFrame) -> DataFrame:
 
 def numbered(evidence: DataFrame, by: str = "video_id") -> DataFrame:
     """evidence with ids counted within each video, in order of time and node."""
-    order = Window.partitionBy(by).orderBy("s", "e", "source_node_id", "detail")
-    return evidence.withColumn("evidence_id", evidence_id(F.row_number().over(order)))
+    rows = running(evidence, by, ["s", "e", "source_node_id", "detail"], sums={"_n": F.lit(1).cast("bigint")})
+    return rows.withColumn("evidence_id", evidence_id(F.col("_n"))).drop("_n")
 
 
 def answer_evidence(evidence: DataFrame, k: int = 4) -> DataFrame:

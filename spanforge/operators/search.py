@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import scores
-from spanforge.functions.text import search_tokens
+from spanforge.functions.text import query_tokens, search_tokens, typed_strings
 
 MODALITIES = ("speech", "visual", "ocr", "audio")
 
@@ -27,21 +27,20 @@ def hits(nodes: DataFrame, artifacts: DataFrame, query: str, modality: str | Non
     a hit. A query without tokens has no hits."""
     from spanforge.operators.memory import videos
 
-    q, q_tokens = F.lit(query), search_tokens(F.lit(query))
+    tokens = query_tokens(query)
     rows = nodes.filter(F.col("level") != "video")
     if levels:
         rows = rows.filter(F.col("level").isin(*levels))
     durations = videos(artifacts).select(F.col("video_id").alias("_v"), "duration")
     rows = rows.join(durations, F.col("video_id") == F.col("_v"), "left").drop("_v")
-    rows = rows.withColumn("temporal", scores.temporal(q_tokens, F.col("s"), F.col("e"), F.col("duration")))
+    rows = rows.withColumn("temporal", scores.temporal(typed_strings(tokens), F.col("s"), F.col("e"), F.col("duration")))
+    wanted = (modality,) if modality else MODALITIES
+    rows = rows.withColumns({f"_{m}": scores.lexical_match(query, tokens, modality_text(m)) for m in wanted})
     found = []
-    for rank, m in enumerate((modality,) if modality else MODALITIES):
-        text = modality_text(m)
-        lexical = scores.lexical(q, q_tokens, text)
-        terms = scores.overlap(q_tokens, search_tokens(text))
-        score = scores.combined(lexical, None, F.col("temporal"))
-        hit = F.struct(score.alias("score"), F.lit(-rank).alias("first"), F.lit(m).alias("modality"), lexical.alias("lexical"), terms.alias("terms"))
-        found.append(F.when(lexical > 0, hit))
+    for rank, m in enumerate(wanted):
+        score, terms = F.col(f"_{m}.score"), F.col(f"_{m}.terms")
+        hit = F.struct(scores.combined(score, None, F.col("temporal")).alias("score"), F.lit(-rank).alias("first"), F.lit(m).alias("modality"), score.alias("lexical"), terms.alias("terms"))
+        found.append(F.when(score > 0, hit))
     rows = rows.withColumn("_hit", F.array_max(F.array(*found))).filter("_hit is not null")
     return rows.select(
         "video_id", "node_id", "level", "s", "e", "_hit.modality", "_hit.score", "_hit.lexical", "temporal", F.col("_hit.terms").alias("matched_terms"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.operators.ordered import running
+
 CAP = 8
 
 
@@ -76,27 +78,21 @@ def latest_search(actions: DataFrame, question: Column) -> DataFrame:
     """actions (session, step, action_type, query) with the last non-blank search query up to each step,
     the question before the first."""
     query = F.when((F.col("action_type") == "SEARCH") & (F.trim("query") != ""), F.trim("query"))
-    order = Window.partitionBy("session").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return actions.withColumn("search_query", F.coalesce(F.last(query, ignorenulls=True).over(order), question))
+    rows = running(actions.withColumn("_question", question), "session", ["step"], lasts={"search_query": query})
+    return rows.withColumn("search_query", F.coalesce("search_query", "_question")).drop("_question")
 
 
 def empty_open_stops(steps: DataFrame) -> DataFrame:
     """The step of each session at which two OPENs in a row have found nothing while the ledger holds
     something: (session, step). steps: session, step, action_type, new_evidence."""
-    order = Window.partitionBy("session").orderBy("step")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     empty = (F.col("action_type") == "OPEN") & (F.col("new_evidence") == 0)
-    rows = steps.withColumn("_island", F.sum((~empty).cast("int")).over(so_far)).withColumn("_ledger", F.sum("new_evidence").over(so_far))
-    streak = F.row_number().over(Window.partitionBy("session", "_island").orderBy("step")) - F.when(F.col("_island") > 0, 1).otherwise(0)
-    rows = rows.withColumn("_streak", F.when(empty, streak).otherwise(0))
-    return rows.filter((F.col("_streak") >= 2) & (F.col("_ledger") > 0)).groupBy("session").agg(F.min("step").alias("step"))
+    rows = running(steps.withColumn("_empty", empty), "session", ["step"], sums={"_ledger": F.col("new_evidence")}, previous={"_before": empty})
+    return rows.filter(F.col("_empty") & F.col("_before") & (F.col("_ledger") > 0)).groupBy("session").agg(F.min("step").alias("step"))
 
 
 def budget(steps: DataFrame, max_steps: int) -> DataFrame:
     """steps with the running budget: used, remaining, clips opened, tokens spent."""
-    so_far = Window.partitionBy("session").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    used = F.count(F.lit(1)).over(so_far)
-    return steps.select(
-        "session", "step", used.alias("steps_used"), F.greatest(F.lit(max_steps) - used, F.lit(0)).alias("steps_remaining"),
-        F.sum((F.col("action_type") == "OPEN").cast("bigint")).over(so_far).alias("clips_opened"), F.sum("tokens").over(so_far).alias("tokens_spent"),
-    )
+    opened = (F.col("action_type") == "OPEN").cast("bigint")
+    rows = running(steps, "session", ["step"], sums={"steps_used": F.lit(1).cast("bigint"), "clips_opened": opened, "tokens_spent": F.col("tokens")})
+    remaining = F.greatest(F.lit(max_steps) - F.col("steps_used"), F.lit(0))
+    return rows.select("session", "step", "steps_used", remaining.alias("steps_remaining"), "clips_opened", "tokens_spent")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import clipped
-from spanforge.operators.ordered import RANGE, carried, earlier_ranges, inside, into_ranges, so_far
+from spanforge.operators.ordered import carried, earlier_ranges, inside, into_ranges, running, so_far
 
 CHARS_PER_TOKEN = 4
 DEFAULT_LIMIT = 128_000
@@ -114,18 +114,13 @@ def error_streaks(iterations: DataFrame, max_errors: int = 3) -> DataFrame:
 def running_limits(calls: DataFrame, max_cost: float, max_tokens: int, max_seconds: float) -> DataFrame:
     """calls (run_id, completion_id, ...) with running cost, tokens and seconds of the run, and whether
     each has gone beyond its limit (strictly). Sums over a run of any length go by ranges."""
-    key, order = "run_id", ["created_at", "completion_id"]
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    rows = calls.select("run_id", "completion_id", "created_at", (zero("total_cost") * 1e9).cast("bigint").alias("_cost"), (zero("total_input_tokens") + zero("total_output_tokens")).alias("_tok"), (zero("execution_time") * 1e6).cast("bigint").alias("_sec"))
-    rows = into_ranges(rows, key, order)
-    sums = ("_cost", "_tok", "_sec")
-    for c in sums:
-        rows = rows.withColumn(c + "r", F.sum(c).over(so_far(key, order)))
-    rows = carried(rows, key, {c + "a": F.sum(c) for c in sums}, {c + "b": F.sum(c + "a").over(earlier_ranges(key)) for c in sums})
-    total = lambda c: F.col(c + "r") + F.coalesce(F.col(c + "b"), F.lit(0))
+    cost, seconds = (zero("total_cost") * 1e9).cast("bigint"), (zero("execution_time") * 1e6).cast("bigint")  # whole numbers: sums do not depend on their order
+    sums = {"_c": cost, "_t": zero("total_input_tokens") + zero("total_output_tokens"), "_s": seconds}
+    rows = running(calls.select("run_id", "completion_id", "created_at", "total_cost", "total_input_tokens", "total_output_tokens", "execution_time"), "run_id", ["created_at", "completion_id"], sums)
     return rows.select(
-        "run_id", "completion_id", F.round(total("_cost") / 1e9, 6).alias("cost"), total("_tok").alias("tokens"), F.round(total("_sec") / 1e6, 4).alias("seconds"),
-        (total("_cost") > int(max_cost * 1e9)).alias("over_cost"), (total("_tok") > max_tokens).alias("over_tokens"), (total("_sec") > int(max_seconds * 1e6)).alias("over_time"),
+        "run_id", "completion_id", F.round(F.col("_c") / 1e9, 6).alias("cost"), F.col("_t").alias("tokens"), F.round(F.col("_s") / 1e6, 4).alias("seconds"),
+        (F.col("_c") > int(max_cost * 1e9)).alias("over_cost"), (F.col("_t") > max_tokens).alias("over_tokens"), (F.col("_s") > int(max_seconds * 1e6)).alias("over_time"),
     )
 
 
@@ -187,10 +182,8 @@ def first_question(prompt: Column) -> Column:
 def as_of_questions(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn, role, text): each assistant turn with the user turn before it that no other
     assistant turn has taken; question is null where none is pending."""
-    order = Window.partitionBy("conv_id").orderBy("turn")
     asked = F.when(F.col("role") == "user", F.struct(F.col("text").alias("text"), F.lit(True).alias("open"))).when(
         F.col("role") == "assistant", F.struct(F.lit(None).cast("string").alias("text"), F.lit(False).alias("open"))
     )
-    last = F.last(asked, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = turns.withColumn("_q", last).filter("role = 'assistant'")
+    rows = running(turns, "conv_id", ["turn"], previous={"_q": asked}).filter("role = 'assistant'")
     return rows.select("conv_id", "turn", F.col("_q.text").alias("question"), F.col("text").alias("answer"), F.coalesce("_q.open", F.lit(False)).alias("pending"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import tidy_punctuation
+from spanforge.operators.ordered import running
 
 MAX_WORDS, MAX_SECONDS, MAX_GAP = 18, 12.0, 0.9
 
@@ -22,10 +23,11 @@ def phrases(words: DataFrame) -> DataFrame:
 
     Pauses and sentence ends do not depend on what came before, so they cut a video into islands by
     windows; only the filling up is a fold, over the words of one island, which a pause ends."""
-    order = Window.partitionBy("video_id").orderBy("ord", "span_start")
-    before_end, before_text = F.lag("span_end").over(order), F.lag("text").over(order)
-    hard = before_end.isNull() | (F.round(F.col("span_start") - before_end, 6) > MAX_GAP) | F.trim(before_text).rlike(r"[.!?]$")
-    rows = words.withColumn("_island", F.sum(F.coalesce(hard, F.lit(True)).cast("bigint")).over(order))
+    order = ["ord", "span_start"]
+    rows = running(words, "video_id", order, previous={"_before": F.struct("span_end", F.trim("text").alias("text"))})
+    pause = F.round(F.col("span_start") - F.col("_before.span_end"), 6) > MAX_GAP
+    hard = F.col("_before").isNull() | pause | F.col("_before.text").rlike(r"[.!?]$")
+    rows = running(rows.withColumn("_hard", F.coalesce(hard, F.lit(True)).cast("bigint")).drop("_before"), "video_id", order, sums={"_island": F.col("_hard")})
     n = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     word = F.struct("ord", "span_start", "span_end", F.trim("text").alias("text"), n.alias("n"))
     rows = rows.groupBy("video_id", "_island").agg(F.array_sort(F.collect_list(word)).alias("w"))

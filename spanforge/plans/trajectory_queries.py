@@ -9,6 +9,7 @@ from spanforge import lm
 from spanforge.functions import text as tx
 from spanforge.operators import scoring as sc
 from spanforge.operators import trajectory as tr
+from spanforge.operators.ordered import running
 from spanforge.sources.files import is_audio_path
 from spanforge.tables import table
 
@@ -134,10 +135,8 @@ def src7_log_kinds(spark: SparkSession, sf: str) -> DataFrame:
 
 def snk4_numbering(spark: SparkSession, sf: str) -> DataFrame:
     """Iterations numbered anew within their run."""
-    from pyspark.sql import Window
-
-    it = _once(spark, sf, "iterations", "run_id", "iteration")
-    return it.select("run_id", "iteration", F.row_number().over(Window.partitionBy("run_id").orderBy("iteration")).alias("number"))
+    it = _once(spark, sf, "iterations", "run_id", "iteration").select("run_id", "iteration")
+    return running(it, "run_id", ["iteration"], sums={"number": F.lit(1).cast("bigint")})
 
 
 def jn6_not_done(spark: SparkSession, sf: str) -> DataFrame:

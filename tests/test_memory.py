@@ -66,10 +66,10 @@ def value(spark, column):
 
 
 def test_lexical_scores(spark):
-    from spanforge.functions.text import search_tokens
+    from spanforge.functions.text import query_tokens
 
     text = F.lit("We should revise the project plan after the demo.")
-    score = lambda q: value(spark, scores.lexical(F.lit(q), search_tokens(F.lit(q)), text))
+    score = lambda q: value(spark, scores.lexical_match(q, query_tokens(q), text))["score"]
     assert score("demo budget") == 0.6667 and score("project plan") == 1.0 and score("walrus") == 0.0
 
 

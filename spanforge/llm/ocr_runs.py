@@ -42,7 +42,12 @@ def readings(ocr: DataFrame) -> DataFrame:
     rows = ocr.select("video_id", F.col("ord").cast("bigint").alias("ord"), "span_start", "span_end", "text").filter(
         F.col("text").isNotNull() & (shown != "")
     )
-    rows = rows.dropDuplicates(["video_id", "ord"]).withColumn("_l", letters(F.col("text")))
+    return rows.dropDuplicates(["video_id", "ord"])
+
+
+def normalised(rows: DataFrame) -> DataFrame:
+    """readings() with _l and _n, what two readings are compared by."""
+    rows = rows.withColumn("_l", letters(F.col("text")))
     return rows.withColumn("_l", F.when(F.col("_l") == "", F.regexp_replace("text", r"\s+", "")).otherwise(F.col("_l"))).withColumn(
         "_n", numbers(F.col("text"))
     )
@@ -57,7 +62,7 @@ def runs(ocr: DataFrame, ranges: int | None = None) -> DataFrame:
     unordered row (null start) comes first; a null video is a video of its own; a run of one
     reading has readings 1; an empty table gives no rows."""
     key, w = "video_id", inside("video_id", ORDER)
-    rows = into_ranges(readings(ocr), key, ORDER, ranges)
+    rows = into_ranges(readings(ocr), key, ORDER, ranges, normalised)
     tail = F.struct("_l", "_n", "ord", "span_end")
     rows = rows.withColumn("_here", tail).withColumn("_pos", F.row_number().over(w).cast("bigint"))
     rows = rows.withColumn("_prev", F.lag("_here").over(w))

@@ -145,7 +145,7 @@ _ID_WORDS = re.compile(r"^(?:[^\W\d_]{3,}\b\.?:?\s+|n[ro°º]\.?\s*|:\s*)+(?=\S*
 
 def _checked(text: str, start: int, end: int, kind: str) -> tuple[int, int, str] | None:
     """The exact check after the model: whole words, no title, no possessive, and what the type needs."""
-    while start > 0 and end > start and text[start - 1].isalnum() and text[start].isalnum():
+    while start > 0 and end > start and text[start - 1].isalnum() and text[start].isalnum() and text[max(0, start - 2) : start] != "\\n":
         start -= 1
     while end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
         end += 1

@@ -252,7 +252,7 @@ class Writer:
         text, spans, listed = "", [], []
         style = r.choice(["space", "space", "line", "bullet", "turn", "number", "json"])
         while len(text) < length + 120:
-            kind = r.choices(["plain", "decoy", "item", "neutral", "noise"], [2, 2, 5, 5 if self.neutral else 0, 0.5])[0]
+            kind = r.choices(["plain", "decoy", "item", "neutral", "noise"], [2, 2, 5, 9 if self.neutral else 0, 0.5])[0]
             if kind == "neutral":
                 s, sp = r.choice(self.neutral), []
                 li = [x.span() for x in re.finditer(r"[^\W\d_]{3,}", s) if r.random() < LISTED_WORD]

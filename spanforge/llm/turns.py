@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanforge.operators.ordered import RANGE, carried, earlier_ranges, inside, so_far
-from spanforge.session import durable, shuffle_width
+from spanforge.operators.ordered import RANGE, carried, earlier_ranges, inside, into_ranges, so_far
+from spanforge.session import durable
 
 #: Distinct speaker names up to which they are broadcast; with more of them they are joined.
 MAX_BROADCAST_NAMES = 100_000
@@ -70,18 +70,25 @@ def _known(df: DataFrame, names: DataFrame, key: str) -> DataFrame:
     return joined.withColumn(key, F.when(F.col("_hit") | F.col(key).startswith("#"), F.col(key))).drop("_name", "_hit")
 
 
-def cleaned(spans: DataFrame) -> DataFrame:
-    """(video_id, ord, span_start, span_end, speaker_key, speaker_label, text): one row per span with
-    speech. Time marks, sound notes, labels and hesitations are taken out of the text.
-
-    The speaker is that of the column, else the label at the start of the text; labels in the
-    text count if they are numbered, marked by >> or known from the column of any span."""
+def spoken(spans: DataFrame) -> DataFrame:
+    """The spans with a text, repeated rows once."""
     rows = spans.select("video_id", F.col("ord").cast("bigint").alias("ord"), "span_start", "span_end", "text", "speaker")
-    rows = rows.filter(F.col("text").isNotNull()).dropDuplicates(["video_id", "ord"])
+    return rows.filter(F.col("text").isNotNull()).dropDuplicates(["video_id", "ord"])
+
+
+def speaker_names(spans: DataFrame) -> tuple[DataFrame, bool]:
+    """The distinct names of the speaker column, and whether they are few enough to be broadcast."""
     names = spans.select(speaker_key(F.col("speaker")).alias("name")).filter("name is not null and name not like '#%'").distinct()
     names = durable(names)
-    if names.count() <= MAX_BROADCAST_NAMES:
-        names = F.broadcast(names)
+    return names, names.count() <= MAX_BROADCAST_NAMES
+
+
+def cleaned(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """(video_id, ord, span_start, span_end, speaker_key, text): one row per spoken() span with speech.
+    Time marks, sound notes, labels and hesitations are taken out of the text.
+
+    The speaker is that of the column, else the label at the start of the text; labels in the
+    text count if they are numbered, marked by >> or one of the names."""
     df = _labels(rows)
     df = _known(_known(df, names, "_k1"), names, "_k2")
     df = df.withColumn("_k3m", F.when(F.col("_marked"), F.col("_k3")))
@@ -159,11 +166,18 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def turn_spans(spans: DataFrame, ranges: int | None = None) -> DataFrame:
     """cleaned() with turn, the number of the turn in its video from 1."""
     key, order = "video_id", ["_pos"]
-    rows = cleaned(spans)
-    n = ranges or shuffle_width(spans.sparkSession)
-    schema = T.StructType([*rows.schema.fields, T.StructField("_pos", T.LongType())])
-    rows = rows.repartitionByRange(n, key, "span_start", "ord").mapInArrow(_ordered, schema)
-    rows = durable(rows.withColumn(RANGE, F.spark_partition_id()))
+    names, few = speaker_names(spans)
+    rows = spoken(spans)
+
+    def ordered(parts: DataFrame) -> DataFrame:
+        schema = T.StructType([*parts.schema.fields, T.StructField("_pos", T.LongType())])
+        return parts.mapInArrow(_ordered, schema)
+
+    if few:  # the joins with the names are broadcast and leave the rows where they are
+        after = lambda parts: ordered(cleaned(parts, F.broadcast(names)))
+    else:
+        rows, after = cleaned(rows, names), ordered
+    rows = into_ranges(rows, key, ["span_start", "ord"], ranges, after)
     w = so_far(key, order)
     rows = rows.withColumn("_own", F.last("speaker_key", ignorenulls=True).over(w))
     rows = carried(

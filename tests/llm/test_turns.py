@@ -1,6 +1,7 @@
 import random
 
-from spanforge.llm.turns import cleaned, precedence_order, turn_texts, turns
+from spanforge.llm import turns as module
+from spanforge.llm.turns import cleaned, precedence_order, speaker_names, spoken, turn_texts, turns
 
 SCHEMA = "video_id string, ord int, text string, span_start double, span_end double, speaker string, language string"
 
@@ -32,7 +33,8 @@ def test_labels_after_times_and_notes(spark):
 
 
 def test_text_is_cleaned(spark):
-    got = [r["text"] for r in cleaned(frame(spark, [("A", "[00:00:01] A: The um, host [laughs] went uhh home .")])).collect()]
+    df = frame(spark, [("A", "[00:00:01] A: The um, host [laughs] went uhh home .")])
+    got = [r["text"] for r in cleaned(spoken(df), speaker_names(df)[0]).collect()]
     assert got == ["The host went home."]
 
 
@@ -56,3 +58,10 @@ def test_long_videos_ties_repeats_and_empty_tables(spark):
 def test_turn_texts_join_the_spans(spark):
     rows = turn_texts(frame(spark, [("A", "one"), ("A", "two"), ("B", "three")]), 1).collect()
     assert sorted((r["speaker"], r["text"]) for r in rows) == [("a", "one two"), ("b", "three")]
+
+
+def test_many_names_are_joined_with_the_same_result(spark, monkeypatch):
+    spans = [("Guest", "x"), (None, "[Guest] y"), ("Host", "z"), (None, "Note: w")]
+    few = found(spark, *spans)
+    monkeypatch.setattr(module, "MAX_BROADCAST_NAMES", 0)
+    assert found(spark, *spans) == few == [(0, 1, "guest"), (2, 3, "host")]

@@ -61,11 +61,12 @@ def combined(lexical_score: Column, semantic_score: Column | None, temporal_scor
 
 
 def reason(modality: Column, node_id: Column, found: Column, semantic_score: Column, temporal_score: Column) -> Column:
+    """Why a node is a hit, in words; scores with two decimals, halves rounded up."""
     parts = F.array_compact(
         F.array(
             F.when(F.size(found) > 0, F.concat(F.lit("Matched "), modality, F.lit(" terms "), F.array_join(F.slice(found, 1, 4), ", "))),
-            F.when(semantic_score > 0, F.format_string("semantic similarity %.2f", semantic_score)),
-            F.when(temporal_score > 0, F.format_string("temporal prior %.2f", temporal_score)),
+            F.when(semantic_score > 0, F.format_string("semantic similarity %.2f", F.round(semantic_score, 2))),
+            F.when(temporal_score > 0, F.format_string("temporal prior %.2f", F.round(temporal_score, 2))),
         )
     )
     said = F.when(F.size(parts) > 0, F.array_join(parts, "; ")).otherwise(F.concat(F.lit("Matched "), modality, F.lit(" content")))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.session import durable
+from spanforge.session import durable, spread
 
 ID = ("run_id", "iteration")
 
@@ -69,7 +69,8 @@ def typed_roots(iterations: DataFrame) -> DataFrame:
 def logged_roots(log: DataFrame) -> DataFrame:
     """The readable iteration lines; null, blank, broken and foreign lines give no row."""
     return (
-        log.select("run_id", F.try_parse_json("line").alias("v"))
+        spread(log.select("run_id", "line"), "line")
+        .select("run_id", F.try_parse_json("line").alias("v"))
         .filter(F.try_variant_get("v", "$.type", "string") == "iteration")
         .select("run_id", F.try_variant_get("v", "$.iteration", "bigint").alias("iteration"), F.lit("").alias("record_path"), "v")
         .filter("iteration is not null")

@@ -383,7 +383,7 @@ ORACLE = {
         case when speech_n = 0 and visual_summary = '' and ocr_n = 0 then 'visual' else concat_ws(',', case when speech_n > 0 then 'speech' end, case when visual_summary <> '' then 'visual' end, case when ocr_n > 0 then 'ocr' end) end as modalities from nodes""",
     "prj6_level_filter": f"{_TREE}, {_NAMES} select video_id, level, count(*) as n from named where level in ('scene', 'clip') group by 1, 2",
     "tk1_search": f"{_HITS} select * from (select video_id, node_id, modality, score, array_to_string(ov, ',') as terms, row_number() over (partition by video_id order by score desc, s, node_id) as rank from hits) where rank <= 5",
-    "rt7_reasons": f"""{_HITS} select node_id, 'Matched ' || modality || ' terms ' || array_to_string(ov[1:4], ', ') || case when temporal > 0 then printf('; temporal prior %.2f', temporal) else '' end || ' in node ' || node_id as reason from hits""",
+    "rt7_reasons": f"""{_HITS} select node_id, 'Matched ' || modality || ' terms ' || array_to_string(ov[1:4], ', ') || case when temporal > 0 then printf('; temporal prior %.2f', round(temporal, 2)) else '' end || ' in node ' || node_id as reason from hits""",
     "rt3_semantic": "select a.vec_id, round(greatest(0.0, list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[]))), 4) as similarity from embeddings a, embeddings b where b.vec_id = 0",
     "jn8_inverted_index": f"""{_SCENE_NODES}, docs as (select node_id, 'speech' modality, speech_text t from nodes union all select node_id, 'visual', concat_ws(' ', nullif(visual_summary, ''), nullif(replace(tags, ',', ' '), ''), nullif(replace(entities, ',', ' '), '')) from nodes
         union all select node_id, 'ocr', ocr_text from nodes) select token, modality, count(*) as nodes from (select modality, unnest({_TOKENS.format('t')}) token from docs) group by 1, 2""",

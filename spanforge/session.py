@@ -40,3 +40,19 @@ def durable(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, key: str, waves: int = 4) -> DataFrame:
+    """df, hashed by key over `waves` partitions a core if it is read in fewer than two a core.
+
+    A table may come as one file with one row group: work that costs much more than moving the
+    row would then run in one task. A table that is read in enough partitions, as any large one
+    is, is left where it is. Only plans without a shuffle are looked at; behind a shuffle the rows
+    are spread already."""
+    execution = df._jdf.queryExecution()
+    if any(word in execution.sparkPlan().toString() for word in ("Exchange", "Join", "Aggregate", "Window", "Sort")):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if execution.toRdd().getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(waves * cores, key)

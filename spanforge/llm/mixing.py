@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.llm.tokens import TOKENIZERS, VOCABULARY, token_count
-from spanforge.session import durable
+from spanforge.session import durable, spread
 
 SEED = 17
 #: Parts of the seeded order of one leaf, each summed by itself.
@@ -91,7 +91,8 @@ class Mix:
     def __init__(self, documents: DataFrame, targets: DataFrame, seed: int = SEED, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
         self.spark, self.seed = documents.sparkSession, seed
         tokens = token_count(F.col("text"), folder, vocabulary)
-        sized = documents.select("doc_id", "source", language_of(F.col("lang")).alias("language"), tokens.alias("tokens"))
+        rows = spread(documents.select("doc_id", "source", "lang", "text"), "doc_id")
+        sized = rows.select("doc_id", "source", language_of(F.col("lang")).alias("language"), tokens.alias("tokens"))
         self.sized = durable(sized)
         rows = targets.filter("source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("n"))
         self.targets = {r["source"]: (r["share"], r["n"]) for r in rows.collect()}  # one row per configured source

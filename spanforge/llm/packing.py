@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.llm.tokens import TOKENIZERS, VOCABULARY, token_count
-from spanforge.session import durable, shuffle_width
+from spanforge.session import durable, shuffle_width, spread
 
 CAPACITY = 2048
 #: Salts that split the ranking of one length over several tasks, at least.
@@ -19,7 +19,8 @@ SALTS = 64
 def pieces(documents: DataFrame, capacity: int = CAPACITY, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, piece, tokens, doc_tokens): a document that fits is one piece, 0; an overlong one is cut
     into full pieces and a rest. Documents without tokens (null or empty) have no piece."""
-    sized = documents.select("doc_id", token_count(F.col("text"), folder, vocabulary).alias("doc_tokens")).filter("doc_tokens > 0")
+    rows = spread(documents.select("doc_id", "text"), "doc_id")
+    sized = rows.select("doc_id", token_count(F.col("text"), folder, vocabulary).alias("doc_tokens")).filter("doc_tokens > 0")
     last = F.floor((F.col("doc_tokens") - 1) / capacity).cast("int")
     return sized.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).select(
         "doc_id",

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.crf import LinearChain
+from spanforge.session import spread
 
 LABELS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 #: Labelled pairs that the CRF is fitted on; they are written by `labelled_pairs`, not taken from a table.
@@ -415,5 +416,5 @@ def pair_defects(completions: DataFrame, pairs: int = TRAINING_PAIRS) -> DataFra
             out = pd.DataFrame({"completion_id": batch["completion_id"], "defect": found})
             yield out[out["defect"].notna()]
 
-    rows = completions.select("completion_id", "prompt", "response")
+    rows = spread(completions.select("completion_id", "prompt", "response"), "completion_id")
     return rows.mapInPandas(judge, "completion_id bigint, defect string").groupBy("completion_id").agg(F.min("defect").alias("defect"))

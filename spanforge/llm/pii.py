@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.bilstm import BiLstmCrf
+from spanforge.session import spread
 
 TYPES = ["name", "email", "phone", "id_number", "address"]
 TAGS = ["O"] + [f"{p}-{t}" for t in TYPES for p in "BI"]
@@ -210,7 +211,7 @@ def find_items(documents: DataFrame, lexicon: DataFrame, model_path: str = str(M
                 rows += [(doc, s, e, k, text[s:e]) for s, e, k in items]
             yield pd.DataFrame(rows, columns=["doc_id", "item_start", "item_end", "pii_type", "pii_text"])
 
-    return documents.select("doc_id", "text").mapInPandas(
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInPandas(
         tag, "doc_id bigint, item_start int, item_end int, pii_type string, pii_text string"
     )
 
@@ -233,4 +234,4 @@ def redacted(documents: DataFrame, lexicon: DataFrame, model_path: str = str(MOD
                 out.append(text)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": out})
 
-    return documents.select("doc_id", "text").mapInPandas(rewrite, "doc_id bigint, text string")
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInPandas(rewrite, "doc_id bigint, text string")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 RESPONSE = "batch_id string, ord bigint, response string, error string, input_tokens bigint, output_tokens bigint"
 #: Names that user tools may not take.
-RESERVED = frozenset("llm_query llm_query_batched rlm_query rlm_query_batched FINAL_VAR SHOW_VARS context history".split())
+RESERVED = frozenset("llm_query llm_query_batched sub_query sub_query_batched FINAL_VAR SHOW_VARS context history".split())
 
 
 class Provider(Protocol):

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge import lm
+from spanforge.functions import payloads, prompts
 from spanforge.functions import text as tx
+from spanforge.functions.focus import chosen_candidates
 from spanforge.operators import scoring as sc
 from spanforge.operators import trajectory as tr
 from spanforge.operators.ordered import running
@@ -253,6 +255,55 @@ def ag14_trace_statistics(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def sc13_judge_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    c = _once(spark, sf, "completions", "completion_id")
+    return c.select("completion_id", prompts.judge_prompt(F.col("prompt"), F.col("response"), F.lit("names an object")).alias("prompt"))
+
+
+def sc13_context_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    it = _once(spark, sf, "iterations", "run_id", "iteration").filter("prompt is not null")
+    lengths = F.transform("prompt", lambda m: F.coalesce(F.length(m["content"]), F.lit(0)).cast("bigint"))
+    return it.select("run_id", "iteration", prompts.context_prompt(F.lit("list"), lengths).alias("prompt"))
+
+
+def prj19_state_payload(spark: SparkSession, sf: str) -> DataFrame:
+    it = _once(spark, sf, "iterations", "run_id", "iteration").filter("prompt is not null")
+    said = F.transform("prompt", lambda m: m["content"])
+    none = F.array().cast("array<string>")
+    return it.select("run_id", "iteration", prompts.state_payload(F.col("response"), none, none, none, said).alias("payload"))
+
+
+def sc17_speech_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans written the way recognisers do, three ways by turns, and read again."""
+    s = table(spark, sf, "speech_spans").filter("trim(text) <> ''").dropDuplicates(["video_id", "ord"])
+    a, b, t = F.col("span_start"), F.col("span_end"), F.col("text")
+    ways = [F.struct(t.alias("text"), a.alias("start"), b.alias("end")), F.struct(t.alias("content"), a.alias("start_time"), b.alias("end_time")), F.struct(t.alias("sentence"), F.array(a, b).alias("timestamp"))]
+    item = F.when(F.col("ord") % 3 == 0, F.to_json(ways[0])).when(F.col("ord") % 3 == 1, F.to_json(ways[1])).otherwise(F.to_json(ways[2]))
+    payload = F.concat(F.lit('{"segments": ['), item, F.lit(', {"text": "no times"}]}'))
+    return s.select("video_id", "ord", F.inline(payloads.speech_spans(payload)))
+
+
+def src11_scene_replies(spark: SparkSession, sf: str) -> DataFrame:
+    v = table(spark, sf, "visual_spans").filter("summary is not null").dropDuplicates(["video_id", "ord"])
+    reply = F.when(F.col("ord") % 2 == 0, F.concat(F.lit("Here it is: "), F.to_json(F.struct("summary")))).otherwise(F.col("summary"))
+    return v.select("video_id", "ord", payloads.scene_summary(reply)["summary"].alias("summary"))
+
+
+def sc12_chosen_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    c = _once(spark, sf, "completions", "completion_id").select("completion_id")
+    n = F.pmod("completion_id", F.lit(5)).cast("string")
+    reply = F.when(F.col("completion_id") % 2 == 0, F.concat(F.lit('{"selected_candidate_ids": ["c'), n, F.lit('", "c1", "c9"]}'))).otherwise(F.concat(F.lit("I pick C2 and c"), n, F.lit(".")))
+    offered = F.array(*[F.lit(x) for x in "abc"])
+    return c.select("completion_id", F.array_join(F.transform(chosen_candidates(reply, offered), lambda x: x.cast("string")), ",").alias("chosen"))
+
+
+def prj9_serialized(spark: SparkSession, sf: str) -> DataFrame:
+    """The values of a result's variables as one text."""
+    it = _once(spark, sf, "iterations", "run_id", "iteration").filter("code_blocks is not null")
+    rows = it.select("run_id", "iteration", F.posexplode("code_blocks").alias("block", "b")).filter("b.result.locals is not null")
+    return rows.select("run_id", "iteration", "block", F.array_join(F.transform(F.map_entries("b.result.locals"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))), ";").alias("locals"))
+
+
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
 
 _C = "c as (select distinct on (completion_id) * from completions)"
@@ -325,6 +376,14 @@ ORACLE = {
     "sc10_json_fields": rf"with {_C}, j as (select completion_id, regexp_extract(response, '(?s)(\{{.*\}})', 1) x from c) select completion_id, json_extract_string(try_cast(x as json), '$.answer') as answer from j where json_valid(x) and json_extract_string(try_cast(x as json), '$.answer') is not null",
     "ud4_batched_queries": f"with {_C} select run_id as batch_id, completion_id as ord, case when contains(prompt, 'kettle') then 'Error: no answer to ' || substr(prompt, 1, 40) else 'echo: ' || substr(prompt, 1, 80) end as response, case when contains(prompt, 'kettle') then 'no answer to ' || substr(prompt, 1, 40) end as error, case when contains(prompt, 'kettle') then 0 else 10 end as input_tokens from c",
     "rt8_distinct_texts": "select text, count(*) as uses from ocr_spans where text is not null group by 1",
+    "sc13_judge_prompts": f"""with {_C} select completion_id, 'Question: ' || coalesce(prompt, '') || chr(10) || 'Answer: ' || coalesce(response, '') || chr(10) || 'Criterion: names an object' || chr(10) || 'Reply with {{"criteria_met": true}} or {{"criteria_met": false}} and nothing else.' as prompt from c""",
+    "sc13_context_prompts": f"""with {_I}, n as (select run_id, iteration, list_transform(prompt, lambda m: coalesce(length(m.content), 0)) l from i where prompt is not null)
+        select run_id, iteration, 'The context is a list of ' || cast(coalesce(list_sum(l), 0) as bigint) || ' characters in chunks of ' || array_to_string(l, ', ') || '.' as prompt from n""",
+    "sc17_speech_payloads": "select distinct video_id, ord, trim(text, ' ') as text, span_start as s, span_end as e from speech_spans where trim(text, ' ') <> '' ",
+    "src11_scene_replies": "select distinct video_id, ord, case when ord % 2 = 0 then summary else trim(summary) end as summary from visual_spans where summary is not null",
+    "sc12_chosen_candidates": f"""with {_C} select completion_id, case when completion_id % 2 = 0 then case when completion_id % 5 in (2, 3) then completion_id % 5 || ',1' else '1' end else case when completion_id % 5 in (1, 3) then '2,' || completion_id % 5 else '2' end end as chosen from c""",
+    "prj9_serialized": f"""with {_I}, b as (select run_id, iteration, unnest(range(length(code_blocks))) block, unnest(code_blocks) b from i where code_blocks is not null)
+        select run_id, iteration, cast(block as int) as block, coalesce(array_to_string(list_transform(map_entries(b.result.locals), lambda e: e.key || '=' || coalesce(e.value, 'null')), ';'), '') as locals from b where b.result.locals is not null""",
     "bm2_sample_points": f"with {_CRITERIA} select * from points",
     "bm3_task_scores": f"with {_CRITERIA} select task, round(accuracy, 6) as accuracy, samples from tasks",
     "bm4_category_scores": f"with {_CRITERIA} select category, round(accuracy, 6) as accuracy, tasks from by_cat",

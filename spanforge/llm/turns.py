@@ -15,6 +15,8 @@ from spanforge.session import durable
 
 #: Distinct speaker names up to which they are broadcast; with more of them they are joined.
 MAX_BROADCAST_NAMES = 100_000
+#: Spans of a turn whose texts are joined in one row, at most.
+PART_SPANS = 500
 #: A longer label is no speaker's name.
 MAX_LABEL = 60
 
@@ -190,8 +192,9 @@ def turn_spans(spans: DataFrame, ranges: int | None = None) -> DataFrame:
     rows = rows.withColumn("_opens", (F.col("_prev").isNull() | (F.col("_prev") != F.col("_who"))).cast("bigint"))
     rows = rows.drop("_own", "_carry", "_earlier", "_prev").withColumn("_turn", F.sum("_opens").over(w))
     rows = carried(rows, key, {"_opened": F.sum("_opens")}, {"_done": F.sum("_opened").over(earlier_ranges(key))})
+    part = F.col(RANGE).cast("bigint") * 1_000_000 + F.floor(F.col("_pos") / PART_SPANS)  # ascending, like the ranges
     return rows.select(
-        key, (F.col("_turn") + F.coalesce("_done", F.lit(0))).alias("turn"), F.col(RANGE).alias("part"), "_pos", "ord",
+        key, (F.col("_turn") + F.coalesce("_done", F.lit(0))).alias("turn"), part.alias("part"), "_pos", "ord",
         "span_start", "span_end", F.col("_who").alias("speaker"), "text",
     )
 
@@ -214,8 +217,8 @@ def turns(spans: DataFrame, ranges: int | None = None) -> DataFrame:
 
 
 def turn_texts(spans: DataFrame, ranges: int | None = None) -> DataFrame:
-    """(video_id, turn, part, first_ord, last_ord, speaker, text): the clean text of each turn. A turn
-    that runs over several ranges has a row (part) for each, so that no text grows without bound."""
+    """(video_id, turn, part, first_ord, last_ord, speaker, text): the clean text of each turn. A long
+    turn has several rows, in order of part, of at most PART_SPANS spans: no text grows without bound."""
     at = F.struct("_pos", "text")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(at)), lambda x: x["text"]), " ")
     return (

@@ -403,6 +403,8 @@ ORACLE = {
           + causal * 0.35 + support * 0.08 - case when contains(lt, 'because') and causal = 0 and length(ov) < 2 then 0.2 else 0 end - shift * 0.25, 4) end as score from o""",
     "rt15_sentences": r"""with s as (select doc_id, unnest(list_filter(string_split_regex(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) s from documents)
         select doc_id, count(*) as n, max(length(s)) as longest from s group by 1""",
+    "wn7_sentence_windows": r"""with s as (select doc_id, list_filter(string_split_regex(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') s from documents)
+        select doc_id, list_max(list_transform(range(1, length(s) + 1), lambda i: length(array_to_string(s[greatest(i - 1, 1):i + 2], ' ')))) as widest from s""",
     "ag8_merge": f"""{_LEDGER}, w as (select video_id request_id, pos, l.* from (select distinct video_id vid from artifacts), (values (1, '2'), (2, '1'), (3, '9')) x(pos, k) join ledger l on l.evidence_id = vid || '/evidence_0000' || k)
         select request_id, round(avg(confidence), 4) as confidence, arg_min(source_node_id, pos) as source_node_id, count(*) as merged, length(string_agg(claim, ' | ' order by pos)) as claim_length from w group by 1""",
     "st4_cite": f"{_LEDGER} select video_id, evidence_id like '%00001' as used_in_final_answer, count(*) as n from ledger group by 1, 2",

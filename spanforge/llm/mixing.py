@@ -101,17 +101,25 @@ class Mix:
         sizes = wanted.groupBy("source", "language").agg(F.sum("tokens").alias("size")).collect()
         self.leaves = budgets({(r["source"], r["language"]): r["size"] for r in sizes}, self.targets, self.total)
 
-    def report(self) -> DataFrame:
-        """(source, target_share, actual_share, tokens, capacity, short): one row per target."""
+    def _planned(self) -> DataFrame:
+        """(source, target_share, budget, capacity, short): what the tree gives each target, before documents are picked."""
         by: dict[str, list] = {}
         for (source, _), leaf in self.leaves.items():
             row = by.setdefault(source, [0, 0, False])
             row[0], row[1], row[2] = row[0] + int(leaf["tokens"]), row[1] + leaf["capacity"], leaf["short"]
-        whole = sum(r[0] for r in by.values())
-        rows = [(s, self.targets[s][0], t / whole if whole else 0.0, t, c, bool(x)) for s, (t, c, x) in by.items()]
-        return self.spark.createDataFrame(
-            rows, "source string, target_share double, actual_share double, tokens bigint, capacity bigint, short boolean"
-        )
+        rows = [(s, self.targets[s][0], b, c, bool(x)) for s, (b, c, x) in by.items()]
+        return self.spark.createDataFrame(rows, "source string, target_share double, budget bigint, capacity bigint, short boolean")
+
+    def report(self) -> DataFrame:
+        """(source, target_share, actual_share, tokens, budget, capacity, short): one row per target.
+
+        tokens and actual_share count the chosen documents; budget is what was planned for them,
+        which whole documents rarely fill."""
+        picked = self.chosen().groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"))
+        rows = self._planned().join(picked, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0).cast("bigint")))
+        whole = F.sum("tokens").over(Window.partitionBy())  # one row per target
+        share = F.when(whole > 0, F.col("tokens") / whole).otherwise(0.0)
+        return rows.withColumn("actual_share", share).select("source", "target_share", "actual_share", "tokens", "budget", "capacity", "short")
 
     def chosen(self) -> DataFrame:
         """(doc_id, source, tokens, repeats): the documents of the mix, repeats at least 1.
@@ -139,4 +147,4 @@ class Mix:
         return rows.select("doc_id", "source", "tokens", (F.col("full") + extra).alias("repeats")).filter("repeats > 0")
 
     def short_sources(self) -> DataFrame:
-        return self.report().filter("short").select("source")
+        return self._planned().filter("short").select("source")

@@ -77,3 +77,22 @@ def test_mix_reports_and_chooses(spark):
     assert sorted(r["doc_id"] for r in chosen) == sorted(r["doc_id"] for r in Mix(spark.createDataFrame(rows, DOCS), targets).chosen().collect())
     empty = Mix(spark.createDataFrame([], DOCS), targets)
     assert empty.chosen().count() == 0 and empty.short_sources().count() == 0
+
+
+def test_report_counts_the_chosen_documents(spark):
+    """Few long documents cannot fill their budget: what is reported is what was picked."""
+    rows = [(i, "word " * 700, "en", "long", "") for i in range(4)] + [(100 + i, "word " * 5, "en", "fine", "") for i in range(400)]
+    rows += [(1000, "word " * 900, "de", "lone", "")]
+    targets = spark.createDataFrame([("long", 0.4, 1), ("fine", 0.2, 1), ("lone", 0.1, 1), ("none", 0.0, 2)], "source string, target_share double, max_repeats int")
+    mix = Mix(spark.createDataFrame(rows, DOCS), targets)
+    picked = {}
+    for r in mix.chosen().collect():
+        picked[r["source"]] = picked.get(r["source"], 0) + r["tokens"] * r["repeats"]
+    report = {r["source"]: r for r in mix.report().collect()}
+    assert set(report) == {"long", "fine", "lone", "none"}
+    for source, r in report.items():
+        assert r["tokens"] == picked.get(source, 0) <= r["budget"]
+        assert r["actual_share"] == pytest.approx(picked.get(source, 0) / sum(picked.values()))
+    assert report["lone"]["budget"] > report["lone"]["tokens"] == 0 and report["long"]["tokens"] < report["long"]["budget"]
+    empty = Mix(spark.createDataFrame([], DOCS), targets).report().collect()
+    assert len(empty) == 4 and all(r["tokens"] == 0 and r["actual_share"] == 0 for r in empty)

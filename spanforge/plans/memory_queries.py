@@ -106,8 +106,14 @@ def prj6_level_filter(spark: SparkSession, sf: str) -> DataFrame:
     return mem.tree(table(spark, sf, "artifacts")).filter(F.col("level").isin("scene", "clip")).groupBy("video_id", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Scenes, segments and clips: what a search goes over unless it is given levels."""
+    t = lambda n: table(spark, sf, n)
+    return mem.nodes(t("artifacts"), t("speech_spans"), t("visual_spans"), t("ocr_spans"))
+
+
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    return se.hits(_level(spark, sf, "segment"), table(spark, sf, "artifacts"), QUERY)
+    return se.hits(_nodes(spark, sf), table(spark, sf, "artifacts"), QUERY)
 
 
 def tk1_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,7 +133,7 @@ def rt3_semantic(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def jn8_inverted_index(spark: SparkSession, sf: str) -> DataFrame:
-    return se.inverted_index(_level(spark, sf, "scene")).groupBy("token", "modality").agg(F.count(F.lit(1)).alias("nodes"))
+    return se.inverted_index(_nodes(spark, sf)).groupBy("token", "modality").agg(F.count(F.lit(1)).alias("nodes"))
 
 
 def tk3_initial_frontier(spark: SparkSession, sf: str) -> DataFrame:

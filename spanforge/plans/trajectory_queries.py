@@ -63,7 +63,10 @@ def wn1_error_streaks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wn3_running_limits(spark: SparkSession, sf: str) -> DataFrame:
-    return tr.running_limits(_once(spark, sf, "completions", "completion_id").withColumn("created_at", F.lit(0)), 0.05, 20_000, 60.0)
+    """In the order of time; a repeated call counts once, at its earliest time."""
+    c = table(spark, sf, "completions")
+    earliest = F.min(F.struct(F.col("created_at").isNull().alias("_late"), "created_at", *[x for x in c.columns if x not in ("completion_id", "created_at")])).alias("_c")
+    return tr.running_limits(c.groupBy("completion_id").agg(earliest).select("completion_id", "_c.*"), 0.05, 20_000, 60.0)
 
 
 def wn10_history(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Queries whose SQL covers a part of the job only: the whole of it, checked here."""
 
 from collections import Counter
+from datetime import datetime
 from pathlib import Path
 
 import pytest
 
 from spanforge.plans import memory_queries as mq
 from spanforge.plans import registry
+from spanforge.plans import trajectory_queries as tq
 
 DATA = Path("/root/testdata/sf0.001")
 duckdb = pytest.importorskip("duckdb")
@@ -57,3 +59,23 @@ def test_inverted_index_holds_scenes_segments_and_clips(spark, duck):
         for token, modality, n in duck.execute(registry.all_sql()["jn8_inverted_index"].replace(mq._SCENE_NODES, nodes)).fetchall():
             want[token, modality] += n
     assert {(r["token"], r["modality"]): r["nodes"] for r in rows_of(spark, "jn8_inverted_index")} == want
+
+
+def written(spark, folder, **tables):
+    """A folder of small tables, given as (rows, schema)."""
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+COMPLETIONS = "completion_id bigint, run_id string, total_cost double, total_input_tokens bigint, total_output_tokens bigint, execution_time double, created_at timestamp"
+
+
+def test_running_limits_go_by_time(spark, tmp_path):
+    """Ids fall as time goes on; the late second row of call 3 changes nothing."""
+    at = lambda minute: datetime(2024, 1, 1, 0, minute)
+    calls = [(3, "r", 0.03, 10, 1, 1.0, at(1)), (3, "r", 0.03, 10, 1, 1.0, at(9)), (2, "r", 0.015, 10, 1, 1.0, at(2)), (1, "r", 0.02, 10, 1, 58.5, at(3)), (7, "q", None, None, None, None, None)]
+    got = {r["completion_id"]: r for r in tq.wn3_running_limits(spark, written(spark, tmp_path, completions=(calls, COMPLETIONS))).collect()}
+    assert {k: (r["cost"], r["tokens"], r["seconds"], r["over_cost"], r["over_time"]) for k, r in got.items()} == {
+        3: (0.03, 11, 1.0, False, False), 2: (0.045, 22, 2.0, False, False), 1: (0.065, 33, 60.5, True, True), 7: (0.0, 0, 0.0, False, False),
+    }

@@ -79,3 +79,19 @@ def test_running_limits_go_by_time(spark, tmp_path):
     assert {k: (r["cost"], r["tokens"], r["seconds"], r["over_cost"], r["over_time"]) for k, r in got.items()} == {
         3: (0.03, 11, 1.0, False, False), 2: (0.045, 22, 2.0, False, False), 1: (0.065, 33, 60.5, True, True), 7: (0.0, 0, 0.0, False, False),
     }
+
+
+def test_candidates_of_documents_in_any_language(spark, tmp_path):
+    """Against brute force over three sentences: the heuristic snippet first, then what the head, the tail and
+    the windows around the sentences give, each once. The language changes nothing."""
+    text = "The cook opens the kettle. The tripod is broken. He repairs it because the water is cold."
+    langs = ["en", "EN", "en-XX", "de", "fr", "und", None]
+    docs = [(i, text, lang) for i, lang in enumerate(langs)] + [(90, None, "de"), (91, "", "fr")]
+    rows = mq.rt20_candidates(spark, written(spark, tmp_path, documents=(docs, "doc_id bigint, text string, lang string"))).collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: r["candidate"]):
+        by.setdefault(r["doc_id"], []).append(r["snippet"])
+    assert set(by) == set(range(len(langs))) and all(v == by[0] for v in by.values())
+    parts = text.replace(". ", ".|").split("|")
+    pieces = {" ".join(parts[a:b]) for a in range(3) for b in range(a + 1, 4)}
+    assert len(by[0]) == len(set(by[0])) and set(by[0]) <= pieces and text in by[0]

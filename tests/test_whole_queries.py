@@ -1,5 +1,7 @@
 """Queries whose SQL covers a part of the job only: the whole of it, checked here."""
 
+import math
+import random
 from collections import Counter
 from datetime import datetime
 from pathlib import Path
@@ -95,3 +97,18 @@ def test_candidates_of_documents_in_any_language(spark, tmp_path):
     parts = text.replace(". ", ".|").split("|")
     pieces = {" ".join(parts[a:b]) for a in range(3) for b in range(a + 1, 4)}
     assert len(by[0]) == len(set(by[0])) and set(by[0]) <= pieces and text in by[0]
+
+
+@pytest.mark.parametrize("block", [2048, 2])
+def test_every_query_vector_meets_every_vector(spark, tmp_path, monkeypatch, block):
+    """Against brute force, in one block and in several."""
+    monkeypatch.setattr(mq, "QUERY_BLOCK", block)
+    rng = random.Random(3)
+    vectors = {i: [rng.uniform(-1, 1) for _ in range(8)] for i in range(0, 520, 20)} | {7: [0.0] * 8}
+    folder = written(spark, tmp_path, embeddings=(list(vectors.items()), "vec_id bigint, embedding array<double>"))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    norm = lambda a, b: math.sqrt(dot(a, a) * dot(b, b))
+    want = {(q, v): max(0.0, dot(a, b) / norm(a, b)) if norm(a, b) else 0.0 for q, a in vectors.items() if q % 100 == 0 for v, b in vectors.items()}
+    got = mq.rt3_semantic(spark, folder).collect()
+    assert len(got) == len(want) == 6 * 27
+    assert {(r["query_id"], r["vec_id"]): r["similarity"] for r in got} == pytest.approx(want, abs=1e-4)

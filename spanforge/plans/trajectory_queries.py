@@ -75,7 +75,7 @@ def wn10_history(spark: SparkSession, sf: str) -> DataFrame:
 
 def sc9_execution_messages(spark: SparkSession, sf: str) -> DataFrame:
     h = tr.history(table(spark, sf, "iterations").filter("code_blocks is not null")).filter("role = 'user'")
-    return h.select("run_id", "iteration", "pos", F.substring("content", 1, 60).alias("beginning"))
+    return h.select("run_id", "iteration", "pos", "content")
 
 
 def ct3_compacted(spark: SparkSession, sf: str) -> DataFrame:

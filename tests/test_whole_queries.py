@@ -112,3 +112,27 @@ def test_every_query_vector_meets_every_vector(spark, tmp_path, monkeypatch, blo
     got = mq.rt3_semantic(spark, folder).collect()
     assert len(got) == len(want) == 6 * 27
     assert {(r["query_id"], r["vec_id"]): r["similarity"] for r in got} == pytest.approx(want, abs=1e-4)
+
+
+RESULT = "struct<stdout:string,stderr:string,locals:map<string,string>>"
+ITERATIONS = f"run_id string, iteration int, response string, code_blocks array<struct<code:string,result:{RESULT}>>"
+
+
+def test_execution_messages_are_whole(spark, tmp_path):
+    """All of the code and of a result of up to 20,000 characters; of a longer one the beginning and what is left."""
+    code = "x = 1\n" * 500
+    blocks = [(code, ("o" * 19_999, None, None)), (code, ("o" * 30_000, None, None)), (code, ("out", "err", {"a": "1", "_b": "2"}))]
+    folder = written(spark, tmp_path, iterations=([("r", 1, "said", blocks), ("r", 2, "said", None)], ITERATIONS))
+    got = {r["pos"]: r["content"] for r in tq.sc9_execution_messages(spark, folder).collect()}
+    head = f"Code executed:\n```python\n{code}\n```\n\nREPL output:\n"
+    assert got == {
+        1: head + "\n" + "o" * 19_999, 2: head + "\n" + "o" * 19_999 + "... + [10001 chars...]",
+        3: head + "\nout\n\n\nerr\n\nREPL variables: ['a']\n",
+    }
+
+
+@tables
+def test_execution_messages_agree_with_the_history_of_the_sql(spark, duck):
+    want = duck.execute(f"with {tq._HIST} select run_id, iteration, pos, content from h where role = 'user'").fetchall()
+    assert max(len(w[3]) for w in want) < 20_000  # the SQL has no cut
+    assert Counter(tuple(r) for r in rows_of(spark, "sc9_execution_messages")) == Counter(want)

@@ -79,8 +79,9 @@ def sc9_execution_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ct3_compacted(spark: SparkSession, sf: str) -> DataFrame:
-    h = tr.history(table(spark, sf, "iterations")).filter("iteration = 1").select("run_id", F.col("pos").alias("ord"), "role", "content")
-    return tr.compacted(h, F.lit("summary")).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+    """The history of each run over all its iterations, compacted."""
+    h = running(tr.history(table(spark, sf, "iterations")), "run_id", ["iteration", "pos"], sums={"_n": F.lit(1).cast("bigint")})
+    return tr.compacted(h.select("run_id", (F.col("_n") - 1).alias("ord"), "role", "content"), F.lit("summary")).select("run_id", "ord", "role", "content")
 
 
 def ag5_run_summary(spark: SparkSession, sf: str) -> DataFrame:

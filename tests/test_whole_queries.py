@@ -136,3 +136,17 @@ def test_execution_messages_agree_with_the_history_of_the_sql(spark, duck):
     want = duck.execute(f"with {tq._HIST} select run_id, iteration, pos, content from h where role = 'user'").fetchall()
     assert max(len(w[3]) for w in want) < 20_000  # the SQL has no cut
     assert Counter(tuple(r) for r in rows_of(spark, "sc9_execution_messages")) == Counter(want)
+
+
+def test_the_whole_history_of_a_run_is_compacted(spark, tmp_path):
+    """Against brute force: a run whose second message is in its second iteration, one that begins later, one of one message."""
+    block = ("print(1)", ("1", None, None))
+    its = [("a", 1, "a1", None), ("a", 2, "a2", [block]), ("a", 3, "a3", None), ("b", 4, "b4", [block, block]), ("b", 5, "b5", [block]), ("c", 2, "c2", [])]
+    folder = written(spark, tmp_path, iterations=(its, ITERATIONS))
+    ran = "Code executed:\n```python\nprint(1)\n```\n\nREPL output:\n\n1"
+    history = {}
+    for run, _, response, blocks in its:
+        history.setdefault(run, []).extend([("assistant", response)] + [("user", ran)] * len(blocks or []))
+    end = [(2, "assistant", "summary"), (3, "user", "Continue from the summary above.")]
+    want = sorted((run, *m) for run, said in history.items() for m in [(i, *x) for i, x in enumerate(said[:2])] + end)
+    assert sorted(tuple(r) for r in tq.ct3_compacted(spark, folder).select("run_id", "ord", "role", "content").collect()) == want

@@ -152,7 +152,7 @@ def jn6_not_done(spark: SparkSession, sf: str) -> DataFrame:
 
 def prj7_filters(spark: SparkSession, sf: str) -> DataFrame:
     r = _once(spark, sf, "runs", "run_id").filter(F.col("backend").isNotNull() & F.col("environment_type").isin("local", "docker"))
-    return r.select("run_id", "backend", "environment_type").orderBy("run_id").limit(25)
+    return r.select("run_id", "backend", "environment_type")
 
 
 def ag9_counts(spark: SparkSession, sf: str) -> DataFrame:

@@ -150,3 +150,10 @@ def test_the_whole_history_of_a_run_is_compacted(spark, tmp_path):
     end = [(2, "assistant", "summary"), (3, "user", "Continue from the summary above.")]
     want = sorted((run, *m) for run, said in history.items() for m in [(i, *x) for i, x in enumerate(said[:2])] + end)
     assert sorted(tuple(r) for r in tq.ct3_compacted(spark, folder).select("run_id", "ord", "role", "content").collect()) == want
+
+
+def test_filters_keep_every_run_that_matches(spark, tmp_path):
+    runs = [(f"r{i:03d}", None if i % 7 == 0 else "b", ("local", "docker", "modal", None)[i % 4]) for i in range(200)]
+    folder = written(spark, tmp_path, runs=(runs + runs[:30], "run_id string, backend string, environment_type string"))
+    want = [r for r in runs if r[1] and r[2] in ("local", "docker")]
+    assert len(want) > 25 and sorted(tuple(r) for r in tq.prj7_filters(spark, folder).collect()) == want

@@ -30,6 +30,18 @@ def lexical_match(query: str, tokens: list[str], text: Column) -> Column:
     return let(F.struct(F.lower(text).alias("lower"), search_tokens(text).alias("tokens")), rated)
 
 
+def lexical_of(doc: Column, query: Column, tokens: Column) -> Column:
+    """The score of lexical_match where the query is a column too; doc is a struct<lower, tokens>."""
+
+    def of(found: Column) -> Column:
+        density = occurrences_of_all(doc["lower"], found) / F.greatest(F.size(doc["tokens"]), F.lit(1))
+        phrase = F.when(F.contains(doc["lower"], F.lower(query)), 0.25).otherwise(0.0)
+        score = F.round(F.least(F.lit(1.0), F.size(found) / F.greatest(F.size(tokens), F.lit(1)) + density + phrase), 4)
+        return F.when(F.size(found) > 0, score).otherwise(0.0)
+
+    return F.coalesce(let(overlap(tokens, doc["tokens"]), of), F.lit(0.0))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors, never negative, 0 for a zero vector; vectors of other sizes are an error."""
     zero = F.struct(F.lit(0.0).alias("ab"), F.lit(0.0).alias("aa"), F.lit(0.0).alias("bb"))
@@ -54,10 +66,11 @@ def temporal(query_tokens: Column, start: Column, end: Column, duration: Column)
 
 def combined(lexical_score: Column, semantic_score: Column | None, temporal_score: Column, lexical_weight: float = LEXICAL_WEIGHT,
              semantic_weight: float = SEMANTIC_WEIGHT) -> Column:
-    """Without embeddings the lexical score counts whole."""
+    """Without embeddings the lexical score counts whole. The weighted sum is freed of binary noise before it
+    is rounded, so that halves go up whatever the machine makes of 0.7 and 0.3."""
     if semantic_score is None:
         return F.round(lexical_score + temporal_score, 4)
-    return F.round(lexical_weight * lexical_score + semantic_weight * semantic_score + temporal_score, 4)
+    return F.round(F.round(lexical_weight * lexical_score + semantic_weight * semantic_score + temporal_score, 10), 4)
 
 
 def reason(modality: Column, node_id: Column, found: Column, semantic_score: Column, temporal_score: Column) -> Column:

@@ -148,6 +148,6 @@ def numbered(evidence: DataFrame, by: str = "video_id") -> DataFrame:
 
 
 def answer_evidence(evidence: DataFrame, k: int = 4) -> DataFrame:
-    """The k rows of each video that an answer is made of: by confidence, then time."""
-    order = Window.partitionBy("video_id").orderBy(F.desc("confidence"), "s", "source_node_id")
+    """The k rows of each video that an answer is made of: by confidence, then time, node and id."""
+    order = Window.partitionBy("video_id").orderBy(F.desc("confidence"), "s", "source_node_id", "evidence_id")
     return evidence.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

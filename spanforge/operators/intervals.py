@@ -53,24 +53,48 @@ def shifted_into(chunk_start: Column, chunk_end: Column, start: Column, end: Col
     )
 
 
+#: How many buckets of one level make one of the next, and how many levels there are.
+FAN, MAX_LEVELS = 32, 12
+
+
+def _level_of(start: Column, end: Column, width: float) -> Column:
+    """The lowest level whose buckets are so wide that a span lies in at most FAN + 1 of them."""
+    level = F.ceil(F.log(F.greatest((end - start) / (width * FAN), F.lit(1.0))) / F.log(F.lit(float(FAN))))
+    return F.least(level.cast("int"), F.lit(MAX_LEVELS))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, key: str, width: float, left_span=("s", "e"), right_span=("s", "e")) -> DataFrame:
     """Pairs of rows of one key whose spans overlap.
 
-    Both sides are cut into time buckets of a width and meet in the buckets they share: an
-    equi-join on (key, bucket) that a hot key cannot pile up on one task. A pair is given out in
-    the bucket where the later of the two begins, so that it comes once."""
+    Both sides are cut into time buckets and meet in the buckets they share: an equi-join on
+    (key, level, bucket) that a hot key cannot pile up on one task. A long span lies in few wide
+    buckets instead of many narrow ones, so one with a wrong end costs no more than another:
+    each row stands in the buckets of its own level and, as a guest, in those of the wider
+    levels that occur. A pair is given out once, on the level of the longer span, in the
+    bucket where the later of the two begins. Null keys and broken spans meet nothing."""
     (ls, le), (rs, re_) = left_span, right_span
+    ok = lambda df, s, e: df.filter(valid(F.col(s), F.col(e)) & (F.abs(F.col(s)) < 1e15) & (F.abs(F.col(e)) < 1e15) & F.col(key).isNotNull())
+    left, right = ok(left, ls, le), ok(right, rs, re_)
+    occurs = left.select(_level_of(F.col(ls), F.col(le), width).alias("l")).union(right.select(_level_of(F.col(rs), F.col(re_), width).alias("l")))
+    levels = sorted(r["l"] for r in occurs.distinct().collect())  # at most MAX_LEVELS + 1 numbers
+
+    def bucketed(df: DataFrame, s: str, e: str, mark: str) -> DataFrame:
+        none = F.array().cast(f"array<struct<_level{mark}:int,_bucket{mark}:bigint,_own{mark}:boolean>>")
+
+        def slots(level: int) -> Column:
+            wide = width * float(FAN) ** level
+            numbers = F.sequence(F.floor(F.col(s) / wide), F.floor(F.col(e) / wide))
+            slot = lambda n: F.struct(F.lit(level).alias(f"_level{mark}"), n.alias(f"_bucket{mark}"), (F.col("_l") == level).alias(f"_own{mark}"))
+            return F.when(F.col("_l") <= level, F.transform(numbers, slot)).otherwise(none)
 
-    def bucketed(df: DataFrame, s: str, e: str, name: str) -> DataFrame:
-        ok = df.filter(valid(F.col(s), F.col(e)) & F.col(key).isNotNull())
-        first, last = F.floor(F.col(s) / width), F.floor(F.col(e) / width)
-        return ok.withColumn(name, F.explode(F.sequence(first, last)))
+        return df.withColumn("_l", _level_of(F.col(s), F.col(e), width)).select(*df.columns, F.inline(F.concat(none, *[slots(x) for x in levels])))
 
-    a, b = bucketed(left, ls, le, "_bucket"), bucketed(right, rs, re_, "_bucket_r")
+    a, b = bucketed(left, ls, le, ""), bucketed(right, rs, re_, "_r")
     names = {c: f"r_{c}" for c in right.columns if c in left.columns and c != key}
     b = b.withColumnsRenamed(names).withColumnRenamed(key, "_key_r")
     rs2, re2 = names.get(rs, rs), names.get(re_, re_)
-    met = a.join(b, (a[key] == b["_key_r"]) & (a["_bucket"] == b["_bucket_r"]))
-    met = met.filter(overlaps(F.col(ls), F.col(le), F.col(rs2), F.col(re2)))
-    met = met.filter(F.col("_bucket") == F.floor(F.greatest(F.col(ls), F.col(rs2)) / width))
-    return met.drop("_bucket", "_bucket_r", "_key_r")
+    met = a.join(b, (a[key] == b["_key_r"]) & (a["_level"] == b["_level_r"]) & (a["_bucket"] == b["_bucket_r"]))
+    met = met.filter((F.col("_own") | F.col("_own_r")) & overlaps(F.col(ls), F.col(le), F.col(rs2), F.col(re2)))
+    wide = F.lit(width) * F.pow(F.lit(float(FAN)), F.col("_level"))
+    met = met.filter(F.col("_bucket") == F.floor(F.greatest(F.col(ls), F.col(rs2)) / wide))
+    return met.drop("_bucket", "_bucket_r", "_key_r", "_level", "_level_r", "_own", "_own_r")

@@ -8,6 +8,7 @@ it carries their numbers, its facts are the tables themselves."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,20 +95,35 @@ def _exists(window: Column, level: str, w: Windows) -> Column:
     return begin + F.pmod(window, F.lit(per)) * w.clip < F.least(begin + w.segment, F.lit(w.scene))
 
 
-def node_facts(facts: DataFrame, artifacts: DataFrame, level: str, w: Windows = Windows()) -> DataFrame:
-    """facts with window, one row per overlapped window of a level (half-open overlap).
+def once(facts: DataFrame) -> DataFrame:
+    """facts without repeated rows, which have the same key and times and differ at most in when they came in."""
+    return facts.dropDuplicates(["video_id", "ord", "span_start", "span_end"])
+
+
+def level_facts(facts: DataFrame, artifacts: DataFrame, levels: tuple[str, ...] = LEVELS, w: Windows = Windows()) -> DataFrame:
+    """facts with level and window, one row per overlapped window of each level (half-open overlap).
 
-    Spans that are null, broken or outside the video are left out; one of no length at the edge
-    of a window overlaps none."""
+    All levels come from one pass over the facts. Repeated rows count once; spans that are null,
+    broken or outside the video are left out; one of no length at the edge of a window overlaps
+    none. A span is cut to its video, so it has no more rows than the video has windows."""
     v = videos(artifacts).filter("duration is not null").select(F.col("video_id").alias("_v"), "duration")
-    rows = facts.filter(valid(F.col("span_start"), F.col("span_end"))).join(v, F.col("video_id") == F.col("_v")).drop("_v")
+    rows = once(facts.filter(valid(F.col("span_start"), F.col("span_end")))).join(v, F.col("video_id") == F.col("_v")).drop("_v")
     s, e = F.col("span_start"), F.col("span_end")
     rows = rows.filter((s < F.col("duration")) & (e > 0))
-    first = _window_of(F.greatest(s, F.lit(0.0)), level, w, before=False)
-    last = _window_of(F.least(e, F.col("duration")), level, w, before=True)
-    rows = rows.withColumn("_first", first).withColumn("_last", last).filter("_first <= _last")
-    rows = rows.withColumn("window", F.explode(F.sequence(F.col("_first").cast("int"), F.col("_last").cast("int"))))
-    return rows.filter(_exists(F.col("window"), level, w)).drop("_first", "_last", "duration")
+
+    def at(level: str) -> Column:
+        first = _window_of(F.greatest(s, F.lit(0.0)), level, w, before=False).cast("int")
+        last = _window_of(F.least(e, F.col("duration")), level, w, before=True).cast("int")
+        numbers = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        there = F.filter(numbers, lambda n: _exists(n, level, w))
+        return F.transform(there, lambda n: F.struct(F.lit(level).alias("level"), n.alias("window")))
+
+    return rows.select(*facts.columns, F.inline(F.concat(*[at(x) for x in levels])))
+
+
+def node_facts(facts: DataFrame, artifacts: DataFrame, level: str, w: Windows = Windows()) -> DataFrame:
+    """level_facts of one level, without the level."""
+    return level_facts(facts, artifacts, (level,), w).drop("level")
 
 
 def _joined(text: str, sep: str = " ") -> Column:
@@ -116,53 +132,67 @@ def _joined(text: str, sep: str = " ") -> Column:
     return F.array_join(F.transform(listed, lambda x: x["t"]), sep)
 
 
-def level_nodes(artifacts: DataFrame, speech: DataFrame, visual: DataFrame, ocr: DataFrame, level: str, w: Windows = Windows(),
-                audio: DataFrame | None = None) -> DataFrame:
-    """The nodes of a level with speech, visual, OCR and audio text, tags, entities and counts.
-
-    Visual summaries of the same granularity are used: those with exactly the node's span if
-    there are any, else the overlapping ones; without any, the summary states the counts."""
-    nodes = tree(artifacts, w).filter(F.col("level") == level)
-    said = node_facts(speech, artifacts, level, w).groupBy("video_id", "window").agg(_joined("text").alias("speech_text"), F.count(F.lit(1)).alias("speech_n"))
-    read = node_facts(ocr, artifacts, level, w).groupBy("video_id", "window").agg(_joined("text").alias("ocr_text"), F.count(F.lit(1)).alias("ocr_n"))
-    seen = node_facts(visual.filter(F.col("granularity") == level), artifacts, level, w)
-    spans = nodes.select(F.col("video_id").alias("_v"), F.col("window").alias("_w"), F.col("s").alias("_s"), F.col("e").alias("_e"))
-    seen = seen.join(spans, (F.col("video_id") == F.col("_v")) & (F.col("window") == F.col("_w")))
+def nodes(artifacts: DataFrame, speech: DataFrame, visual: DataFrame, ocr: DataFrame, w: Windows = Windows(), audio: DataFrame | None = None,
+          levels: tuple[str, ...] = LEVELS) -> DataFrame:
+    """The nodes of some levels with speech, visual, OCR and audio text, tags, entities and counts.
+
+    Each kind of fact is read once for all levels and aggregated by (video, level, window), the key
+    that the nodes are joined on. Visual summaries of the same granularity are used: those with
+    exactly the node's span if there are any, else the overlapping ones; without any, the
+    summary states the counts."""
+    key = ["video_id", "level", "window"]
+    rows = tree(artifacts, w).filter(F.col("level").isin(*levels))
+    said = level_facts(speech, artifacts, levels, w).groupBy(*key).agg(_joined("text").alias("speech_text"), F.count(F.lit(1)).alias("speech_n"))
+    read = level_facts(ocr, artifacts, levels, w).groupBy(*key).agg(_joined("text").alias("ocr_text"), F.count(F.lit(1)).alias("ocr_n"))
+    seen = level_facts(visual.filter(F.col("granularity").isin(*levels)), artifacts, levels, w).filter(F.col("granularity") == F.col("level"))
+    spans = rows.select(*key, F.col("s").alias("_s"), F.col("e").alias("_e"))
+    seen = seen.join(spans, key)
     exact = (F.abs(F.col("span_start") - F.col("_s")) <= TOLERANCE) & (F.abs(F.col("span_end") - F.col("_e")) <= TOLERANCE)
     seen = seen.withColumn("_exact", exact)
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: x.isNotNull())))))
     summary = lambda: F.array_join(
         F.transform(F.array_sort(F.collect_list(F.when(F.col("summary") != "", F.struct(F.col("ord").alias("o"), F.trim("summary").alias("t"))))), lambda x: x["t"]), " | "
     )
-    by = seen.groupBy("video_id", "window", "_exact").agg(summary().alias("_summary"), union("tags").alias("_tags"), union("entities").alias("_entities"))
-    best = by.groupBy("video_id", "window").agg(F.max_by(F.struct("_summary", "_tags", "_entities"), "_exact").alias("_best"))
-    out = nodes.join(said, ["video_id", "window"], "left").join(read, ["video_id", "window"], "left").join(best, ["video_id", "window"], "left")
+    by = seen.groupBy(*key, "_exact").agg(summary().alias("_summary"), union("tags").alias("_tags"), union("entities").alias("_entities"))
+    best = by.groupBy(*key).agg(F.max_by(F.struct("_summary", "_tags", "_entities"), "_exact").alias("_best"))
+    out = rows.join(said, key, "left").join(read, key, "left").join(best, key, "left")
     if audio is not None:
-        heard = node_facts(audio, artifacts, level, w).groupBy("video_id", "window").agg(_joined("label").alias("audio_text"), F.count(F.lit(1)).alias("audio_n"))
-        out = out.join(heard, ["video_id", "window"], "left")
+        heard = level_facts(audio, artifacts, levels, w).groupBy(*key).agg(_joined("label").alias("audio_text"), F.count(F.lit(1)).alias("audio_n"))
+        out = out.join(heard, key, "left")
     else:
         out = out.withColumn("audio_text", F.lit("")).withColumn("audio_n", F.lit(0).cast("bigint"))
     for c in ("speech_n", "ocr_n", "audio_n"):
         out = out.withColumn(c, F.coalesce(c, F.lit(0)))
-    counts = F.concat_ws(
-        ", ",
-        F.concat("level", F.lit(" node")),
-        F.when(F.col("speech_n") > 0, F.concat(F.col("speech_n").cast("string"), F.lit(" speech spans"))),
-        F.when(F.col("ocr_n") > 0, F.concat(F.col("ocr_n").cast("string"), F.lit(" OCR spans"))),
-    )
     empty = F.array().cast("array<string>")
     return out.select(
         "video_id", "node_id", "level", "window", "parent_id", "s", "e",
         F.coalesce("speech_text", F.lit("")).alias("speech_text"), F.coalesce("ocr_text", F.lit("")).alias("ocr_text"), F.coalesce("audio_text", F.lit("")).alias("audio_text"),
-        F.when(F.col("_best").isNull(), counts).otherwise(F.col("_best._summary")).alias("visual_summary"),
+        F.when(F.col("_best").isNull(), counted(F.col("level"), F.col("speech_n"), F.col("ocr_n"))).otherwise(F.col("_best._summary")).alias("visual_summary"),
         F.coalesce("_best._tags", empty).alias("tags"), F.coalesce("_best._entities", empty).alias("entities"), "speech_n", "ocr_n", "audio_n",
     )
 
 
-def nodes(artifacts: DataFrame, speech: DataFrame, visual: DataFrame, ocr: DataFrame, w: Windows = Windows(), audio: DataFrame | None = None) -> DataFrame:
-    """All scenes, segments and clips."""
-    parts = [level_nodes(artifacts, speech, visual, ocr, level, w, audio) for level in LEVELS]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+def level_nodes(artifacts: DataFrame, speech: DataFrame, visual: DataFrame, ocr: DataFrame, level: str, w: Windows = Windows(),
+                audio: DataFrame | None = None) -> DataFrame:
+    """The nodes of one level."""
+    return nodes(artifacts, speech, visual, ocr, w, audio, (level,))
+
+
+def counted(level: Column, speech_n: Column, ocr_n: Column) -> Column:
+    """What stands in for a summary: the level and the numbers of its facts."""
+    part = lambda n, what: F.when(n > 0, F.concat(n.cast("string"), F.lit(what)))
+    return F.concat_ws(", ", F.concat(level, F.lit(" node")), part(speech_n, " speech spans"), part(ocr_n, " OCR spans"))
+
+
+def granularity(start: Column, end: Column, scene_seconds: float = 20.0) -> Column:
+    """What a summary without granularity counts as: a scene from a length on, else a clip."""
+    return F.when(end - start >= scene_seconds, "scene").otherwise("clip")
+
+
+def fact_counts(**facts: DataFrame) -> DataFrame:
+    """(video_id, kind, n): the distinct facts of each kind in each video, one pass per kind."""
+    parts = [once(df).groupBy("video_id").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(kind)) for kind, df in facts.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def clip_pointer(source: Column, s: Column, e: Column) -> Column:

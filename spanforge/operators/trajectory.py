@@ -21,6 +21,7 @@ CONTEXT_LIMITS = {
     "gemini-2.5-pro": 1_000_000, "gemini-2.0-flash": 1_000_000, "gemini-1.5-pro": 1_000_000, "gemini-1.5-flash": 1_000_000,
     "gemini-1.0-pro": 30_720, "qwen3-max": 256_000, "qwen3-72b": 128_000, "qwen3-32b": 128_000, "qwen3-8b": 32_768, "qwen3": 128_000,
     "kimi-k2.5": 262_000, "kimi-k2-0905": 256_000, "kimi-k2-thinking": 256_000, "kimi-k2": 128_000,
+    "kimi": 128_000, "glm-4.6": 200_000, "glm-4-9b": 1_000_000, "glm-4": 128_000, "glm": 128_000,
 }
 
 

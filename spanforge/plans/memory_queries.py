@@ -20,6 +20,8 @@ from spanforge.tables import table
 QUERY = "Who repairs the first water pump at the harbor market?"
 #: Query vectors in one broadcast of the semantic search.
 QUERY_BLOCK = 2048
+#: Questions that are asked together.
+QUESTIONS = {"pump": QUERY, "label": "What does the label on the paper map say?", "last": "Which drone is repaired last?", "lamp": "ring light", "none": "of the and"}
 WHY = "Why does the cook repair the tripod and open the kettle?"
 
 
@@ -144,6 +146,29 @@ def jn8_inverted_index(spark: SparkSession, sf: str) -> DataFrame:
     return se.inverted_index(_nodes(spark, sf)).groupBy("token", "modality").agg(F.count(F.lit(1)).alias("nodes"))
 
 
+def _questions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(QUESTIONS.items()), "query_id string, query string")
+
+
+def jn8_search_many(spark: SparkSession, sf: str) -> DataFrame:
+    """The three best hits of each question in each video, over the inverted index."""
+    found = se.search_many(_questions(spark), _nodes(spark, sf), table(spark, sf, "artifacts"))
+    order = Window.partitionBy("query_id", "video_id").orderBy(F.desc("score"), "s", "node_id")
+    best = found.withColumn("rank", F.row_number().over(order)).filter("rank <= 3")
+    return best.select("query_id", "video_id", "node_id", "modality", "score", F.array_join("matched_terms", ",").alias("terms"), "rank")
+
+
+def rt5_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that have a vector against questions with vectors: every vector whose id is divisible by 100 is
+    one, its words a question by turns."""
+    e = table(spark, sf, "embeddings")
+    names = F.array(*[F.lit(q) for q in QUESTIONS.values()])
+    turn = (F.pmod(F.col("vec_id") / 100, F.lit(len(QUESTIONS))) + 1).cast("int")
+    queries = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.element_at(names, turn).alias("query"), "embedding")
+    items = table(spark, sf, "documents").join(e.withColumnRenamed("vec_id", "doc_id"), "doc_id").select(F.col("doc_id").alias("item_id"), "text", "embedding")
+    return se.hybrid_many(queries, items, QUERY_BLOCK)
+
+
 def tk3_initial_frontier(spark: SparkSession, sf: str) -> DataFrame:
     scenes = mem.tree(table(spark, sf, "artifacts")).filter("level = 'scene'")
     f = st.initial_frontier(_hits(spark, sf), scenes)
@@ -211,7 +236,7 @@ def _ledger(spark: SparkSession, sf: str) -> DataFrame:
 def ag8_merge(spark: SparkSession, sf: str) -> DataFrame:
     led = _ledger(spark, sf)
     req = mem.videos(table(spark, sf, "artifacts")).select(F.col("video_id").alias("request_id"), F.array(*[F.concat("video_id", F.lit(f"/evidence_0000{i}")) for i in (2, 1, 9)]).alias("evidence_ids"))
-    return ev.merge_evidence(led, req).select("request_id", "confidence", "source_node_id", "merged", F.length("claim").alias("claim_length"))
+    return ev.merge_evidence(led, req).select("request_id", "claim", "detail", "confidence", "source_node_id", "s", "e", "merged")
 
 
 def st4_cite(spark: SparkSession, sf: str) -> DataFrame:
@@ -221,7 +246,7 @@ def st4_cite(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tk4_answer_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.answer_evidence(_ledger(spark, sf)).select("video_id", "rank", "confidence")
+    return ev.answer_evidence(_ledger(spark, sf)).select("video_id", "rank", "evidence_id", "claim", "confidence")
 
 
 def jn9_new_evidence(spark: SparkSession, sf: str) -> DataFrame:
@@ -285,8 +310,8 @@ def st7_visual_sets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prj21_granularity(spark: SparkSession, sf: str) -> DataFrame:
-    v = table(spark, sf, "visual_spans").filter("span_end >= span_start and not isnan(span_start) and not isnan(span_end)")
-    return v.groupBy(F.when(F.col("span_end") - F.col("span_start") >= 20, "scene").otherwise("clip").alias("granularity")).agg(F.count(F.lit(1)).alias("n"))
+    v = mem.once(table(spark, sf, "visual_spans")).filter(iv.valid(F.col("span_start"), F.col("span_end")))
+    return v.groupBy(mem.granularity(F.col("span_start"), F.col("span_end")).alias("granularity")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def sc5_word_level(spark: SparkSession, sf: str) -> DataFrame:
@@ -294,7 +319,7 @@ def sc5_word_level(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wn9_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    """Screen readings taken as words."""
+    """Speech spans taken as words."""
     w = table(spark, sf, "speech_spans").filter("text is not null and span_end >= span_start").dropDuplicates(["video_id", "ord"])
     return phrases(w.select("video_id", "ord", "text", "span_start", "span_end"))
 
@@ -305,7 +330,9 @@ _V = """v as (select video_id, max(case when duration_seconds > 0 and not isnan(
 _SCENE = "scenes as (select video_id, i, i * 180.0 s, least((i + 1) * 180.0, d) e, d from v, lateral (select unnest(range(cast(ceil(d / 180.0) as bigint))) i))"
 _SEGMENT = "segments as (select video_id, i, j, i * 4 + j w, s + j * 45.0 s, least(s + (j + 1) * 45.0, e) e, d from scenes, lateral (select unnest(range(cast(ceil((e - s) / 45.0) as bigint))) j))"
 _CLIP = "clips as (select video_id, i, j, k, w * 3 + k w, s + k * 15.0 s, least(s + (k + 1) * 15.0, e) e, d from segments, lateral (select unnest(range(cast(ceil((e - s) / 15.0) as bigint))) k))"
-_TREE = f"with {_V}, {_SCENE}, {_SEGMENT}, {_CLIP}"
+_FACTS = """speech as (select distinct video_id, ord, text, span_start, span_end from speech_spans), readings as (select distinct video_id, ord, text, span_start, span_end from ocr_spans),
+  views as (select distinct on (video_id, ord, span_start, span_end) video_id, ord, summary, granularity, tags, entities, span_start, span_end from visual_spans)"""
+_TREE = f"with {_V}, {_SCENE}, {_SEGMENT}, {_CLIP}, {_FACTS}"
 _NAMES = """
 named as (
   select video_id, video_id || '_video' node_id, 'video' level, cast(null as varchar) parent_id, 0.0 s, d e from v
@@ -320,13 +347,13 @@ def _visual(level: str, nodes: str) -> str:
     ok = _OK.format("x", "n")
     return f"""
 seen as (select n.video_id, n.w, x.ord, x.summary, x.tags, x.entities, abs(x.span_start - n.s) <= 1e-6 and abs(x.span_end - n.e) <= 1e-6 exact
-         from {nodes} n join visual_spans x on n.video_id = x.video_id and x.granularity = '{level}' and {ok}),
+         from {nodes} n join views x on n.video_id = x.video_id and x.granularity = '{level}' and {ok}),
 best as (select * from (select *, max(exact::int) over (partition by video_id, w) any_exact from seen) where exact::int = any_exact),
 visual as (select video_id, w, coalesce(string_agg(case when summary <> '' then trim(summary) end, ' | ' order by ord, trim(summary)), '') summary from best group by 1, 2),
 tagged as (select video_id, w, string_agg(distinct t, ',' order by t) tags from (select video_id, w, unnest(tags) t from best) where t is not null group by 1, 2),
 named_e as (select video_id, w, string_agg(distinct t, ',' order by t) entities from (select video_id, w, unnest(entities) t from best) where t is not null group by 1, 2),
-said as (select n.video_id, n.w, count(*) c, coalesce(string_agg(x.text, ' ' order by x.ord, x.text), '') t from {nodes} n join speech_spans x on n.video_id = x.video_id and {ok} group by 1, 2),
-shown as (select n.video_id, n.w, count(*) c, coalesce(string_agg(x.text, ' ' order by x.ord, x.text), '') t from {nodes} n join ocr_spans x on n.video_id = x.video_id and {ok} group by 1, 2),
+said as (select n.video_id, n.w, count(*) c, coalesce(string_agg(x.text, ' ' order by x.ord, x.text), '') t from {nodes} n join speech x on n.video_id = x.video_id and {ok} group by 1, 2),
+shown as (select n.video_id, n.w, count(*) c, coalesce(string_agg(x.text, ' ' order by x.ord, x.text), '') t from {nodes} n join readings x on n.video_id = x.video_id and {ok} group by 1, 2),
 nodes as (select n.*, coalesce(sp.c, 0) speech_n, coalesce(oc.c, 0) ocr_n, coalesce(sp.t, '') speech_text, coalesce(oc.t, '') ocr_text, coalesce(tg.tags, '') tags, coalesce(en.entities, '') entities,
    case when vi.video_id is not null then vi.summary else '{level} node' || case when coalesce(sp.c, 0) > 0 then ', ' || sp.c || ' speech spans' else '' end
         || case when coalesce(oc.c, 0) > 0 then ', ' || oc.c || ' OCR spans' else '' end end visual_summary
@@ -335,29 +362,42 @@ nodes as (select n.*, coalesce(sp.c, 0) speech_n, coalesce(oc.c, 0) ocr_n, coale
 """
 
 
-_SCENE_W = "scenes_w as (select *, i w, printf('%s_scene_%03d', video_id, i + 1) node_id from scenes)"
-_SEGMENT_W = "segments_w as (select *, printf('%s_scene_%03d_seg_%03d', video_id, i + 1, j + 1) node_id, printf('%s_scene_%03d', video_id, i + 1) parent_id from segments)"
+_SCENE_W = "scenes_w as (select video_id, s, e, d, i w, printf('%s_scene_%03d', video_id, i + 1) node_id, video_id || '_video' parent_id, 'scene' level from scenes)"
+_SEGMENT_W = "segments_w as (select video_id, s, e, d, w, printf('%s_scene_%03d_seg_%03d', video_id, i + 1, j + 1) node_id, printf('%s_scene_%03d', video_id, i + 1) parent_id, 'segment' level from segments)"
+_CLIP_W = "clips_w as (select video_id, s, e, d, w, printf('%s_scene_%03d_seg_%03d_clip_%03d', video_id, i + 1, j + 1, k + 1) node_id, printf('%s_scene_%03d_seg_%03d', video_id, i + 1, j + 1) parent_id, 'clip' level from clips)"
 _SCENE_NODES = f"{_TREE}, {_SCENE_W}, {_visual('scene', 'scenes_w')}"
 _SEGMENT_NODES = f"{_TREE}, {_SEGMENT_W}, {_visual('segment', 'segments_w')}"
+_CLIP_NODES = f"{_TREE}, {_CLIP_W}, {_visual('clip', 'clips_w')}"
+_ALL_NODES = "with nodes as (" + " union all ".join(f"select * from ({n} select * from nodes)" for n in (_SCENE_NODES, _SEGMENT_NODES, _CLIP_NODES)) + ")"
 
 _STOP = "', '".join(__import__("spanforge.functions.text", fromlist=["x"]).STOPWORDS)
 _TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1 and w not in ('" + _STOP + "')))"
 _Q = QUERY.replace("'", "''")
-_HITS = f"""{_SEGMENT_NODES},
-q as (select lower('{_Q}') ql, {_TOKENS.format("'" + _Q + "'")} qt),
+def _hits_sql(queries: dict[str, str]) -> str:
+    """The best modality of each node for each query."""
+    quoted = {k: q.replace("'", "''") for k, q in queries.items()}
+    asked = " union all ".join(f"select '{k}' query_id, lower('{q}') ql, {_TOKENS.format(chr(39) + q + chr(39))} qt" for k, q in quoted.items())
+    return f"""{_ALL_NODES},
+q as ({asked}),
 docs as (
   select video_id, node_id, s, e, d, 0 r, 'speech' modality, speech_text t from nodes
   union all select video_id, node_id, s, e, d, 1, 'visual', concat_ws(' ', nullif(visual_summary, ''), nullif(replace(tags, ',', ' '), ''), nullif(replace(entities, ',', ' '), '')) from nodes
   union all select video_id, node_id, s, e, d, 2, 'ocr', ocr_text from nodes),
-toks as (select docs.*, ql, qt, {_TOKENS.format("t")} dt from docs, q),
+cut as (select *, {_TOKENS.format("t")} dt from docs),
+toks as (select cut.*, query_id, ql, qt from cut, q),
 lap as (select *, list_sort(list_filter(qt, lambda w: list_contains(dt, w))) ov from toks),
 lexed as (select *, round(least(1.0, length(ov) / length(qt)
      + list_sum(list_transform(ov, lambda w: cast((length(lower(t)) - length(replace(lower(t), w, ''))) / length(w) as bigint))) / greatest(length(dt), 1)
-     + case when contains(lower(t), ql) then 0.25 else 0.0 end), 4) lex, round(greatest(0.0, 1.0 - s / greatest(d * 0.35, 1.0)) * 0.3, 4) temporal
+     + case when contains(lower(t), ql) then 0.25 else 0.0 end), 4) lex,
+     case when list_has_any(qt, ['first', 'beginning', 'earliest', 'initial']) then round(greatest(0.0, 1.0 - s / greatest(d * 0.35, 1.0)) * 0.3, 4)
+          when list_has_any(qt, ['last', 'final', 'ending', 'end']) then round(greatest(0.0, 1.0 - greatest(0.0, d - e) / greatest(d * 0.35, 1.0)) * 0.3, 4) else 0.0 end temporal
    from lap where length(ov) > 0),
 scored as (select *, round(lex + temporal, 4) score from lexed),
-hits as (select * from (select *, row_number() over (partition by node_id order by score desc, r) best from scored) where best = 1)
+hits as (select * from (select *, row_number() over (partition by query_id, node_id order by score desc, r) best from scored) where best = 1)
 """
+
+
+_HITS = _hits_sql({"q": QUERY})
 _STEPS = """steps as (select user_id as session, row_number() over (partition by user_id order by ts, event_id) as step,
    case event_id % 5 when 0 then 'SEARCH' when 1 then 'OPEN' when 2 then 'OPEN' when 3 then 'SPLIT' else 'STOP' end as action_type, event_type as query,
    case when event_id % 3 = 0 then 1 else 0 end as new_evidence, length(props) as tokens from events)"""
@@ -384,7 +424,7 @@ ORACLE = {
     "prj1_valid_spans": "select video_id, count(*) as spans, round(max(span_end - span_start), 3) as longest from visual_spans where span_end >= span_start and not isnan(span_start) and not isnan(span_end) group by 1",
     "prj4_display": "select distinct video_id, ord, printf('%.2f-%.2f', round(span_start, 0), round(span_end, 0)) as shown from ocr_spans",
     "prj3_contains": "select distinct video_id, ord from speech_spans where 60.0 between span_start and span_end",
-    "jn1_speech_in_clips": f"{_TREE} select n.video_id, n.w as \"window\", count(*) as n, min(x.ord) as first_ord, max(x.ord) as last_ord from clips n join speech_spans x on n.video_id = x.video_id and {_OK.format('x', 'n')} group by 1, 2",
+    "jn1_speech_in_clips": f"{_TREE} select n.video_id, n.w as \"window\", count(*) as n, min(x.ord) as first_ord, max(x.ord) as last_ord from clips n join speech x on n.video_id = x.video_id and {_OK.format('x', 'n')} group by 1, 2",
     "jn1_overlap_join": """with a as (select distinct video_id, ord scene, span_start s, span_end e from visual_spans where granularity = 'scene' and span_end >= span_start and not isnan(span_start) and not isnan(span_end)),
         b as (select distinct video_id, ord reading, span_start s, span_end e from ocr_spans where span_end >= span_start)
         select a.video_id, scene, reading from a join b on a.video_id = b.video_id and a.s < b.e and b.s < a.e""",
@@ -398,11 +438,18 @@ ORACLE = {
     "prj6_level_filter": f"{_TREE}, {_NAMES} select video_id, level, count(*) as n from named where level in ('scene', 'clip') group by 1, 2",
     "tk1_search": f"{_HITS} select * from (select video_id, node_id, modality, score, array_to_string(ov, ',') as terms, row_number() over (partition by video_id order by score desc, s, node_id) as rank from hits) where rank <= 5",
     "rt7_reasons": f"""{_HITS} select node_id, 'Matched ' || modality || ' terms ' || array_to_string(ov[1:4], ', ') || case when temporal > 0 then printf('; temporal prior %.2f', round(temporal, 2)) else '' end || ' in node ' || node_id as reason from hits""",
-    "rt3_semantic": "select a.vec_id, round(greatest(0.0, list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[]))), 4) as similarity from embeddings a, embeddings b where b.vec_id = 0",
-    "jn8_inverted_index": f"""{_SCENE_NODES}, docs as (select node_id, 'speech' modality, speech_text t from nodes union all select node_id, 'visual', concat_ws(' ', nullif(visual_summary, ''), nullif(replace(tags, ',', ' '), ''), nullif(replace(entities, ',', ' '), '')) from nodes
+    "rt3_semantic": "select b.vec_id as query_id, a.vec_id, round(greatest(0.0, list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[]))), 4) as similarity from embeddings a, embeddings b where b.vec_id % 100 = 0",
+    "jn8_inverted_index": f"""{_ALL_NODES}, docs as (select node_id, 'speech' modality, speech_text t from nodes union all select node_id, 'visual', concat_ws(' ', nullif(visual_summary, ''), nullif(replace(tags, ',', ' '), ''), nullif(replace(entities, ',', ' '), '')) from nodes
         union all select node_id, 'ocr', ocr_text from nodes) select token, modality, count(*) as nodes from (select modality, unnest({_TOKENS.format('t')}) token from docs) group by 1, 2""",
+    "jn8_search_many": f"""{_hits_sql(QUESTIONS)} select * from (select query_id, video_id, node_id, modality, score, array_to_string(ov, ',') as terms, row_number() over (partition by query_id, video_id order by score desc, s, node_id) as rank from hits) where rank <= 3""",
+    "rt5_hybrid": f"""with q as (select vec_id query_id, (['{"', '".join(QUESTIONS.values())}'])[(vec_id // 100) % {len(QUESTIONS)} + 1] query, cast(embedding as double[]) v from embeddings where vec_id % 100 = 0),
+        qt as (select *, lower(query) ql, {_TOKENS.format('query')} qt from q), d as (select doc_id item_id, text t, cast(embedding as double[]) e, {_TOKENS.format("coalesce(text, '')")} dt from documents join embeddings on doc_id = vec_id),
+        p as (select *, list_filter(qt, lambda w: list_contains(dt, w)) ov from qt, d),
+        l as (select query_id, item_id, case when length(ov) > 0 then round(least(1.0, length(ov) / length(qt) + list_sum(list_transform(ov, lambda w: cast((length(lower(t)) - length(replace(lower(t), w, ''))) / length(w) as bigint))) / greatest(length(dt), 1)
+          + case when contains(lower(t), ql) then 0.25 else 0.0 end), 4) else 0.0 end lexical, round(greatest(0.0, list_cosine_similarity(e, v)), 4) semantic from p)
+        select *, ((cast(round(lexical * 10000) as bigint) * 7 + cast(round(semantic * 10000) as bigint) * 3 + 5) // 10) / 10000 as score from l where lexical > 0 or semantic > 0""",
     "tk3_initial_frontier": f"""{_HITS}, f as (select video_id, node_id, s, score, modality as modalities from hits
-        union all select video_id, printf('%s_scene_%03d', video_id, i + 1), s, 0.1, 'visual,speech' from scenes where video_id not in (select video_id from hits))
+        union all select video_id, node_id, s, 0.1, 'visual,speech' from nodes where level = 'scene' and video_id not in (select video_id from hits))
         select * from (select video_id, node_id, score, modalities, row_number() over (partition by video_id order by score desc, s, node_id) as rank from f) where rank <= 8""",
     "tk8_topical_index": f"{_SCENE_NODES} select * from (select video_id, row_number() over (partition by video_id order by s, node_id) as rank, substr(case when visual_summary <> '' then visual_summary else node_id end, 1, 120) as topic from nodes) where rank <= 6",
     "rt10_open_visual": f"""{_SEGMENT_NODES} select node_id as source_node_id, 'visual' as modality, 'Visual evidence: ' || substr(trim(regexp_replace(trim(visual_summary), '\\s+', ' ', 'g')), 1, 180) as claim,
@@ -420,9 +467,9 @@ ORACLE = {
     "wn7_sentence_windows": r"""with s as (select doc_id, list_filter(string_split_regex(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') s from documents)
         select doc_id, list_max(list_transform(range(1, length(s) + 1), lambda i: length(array_to_string(s[greatest(i - 1, 1):i + 2], ' ')))) as widest from s""",
     "ag8_merge": f"""{_LEDGER}, w as (select video_id request_id, pos, l.* from (select distinct video_id vid from artifacts), (values (1, '2'), (2, '1'), (3, '9')) x(pos, k) join ledger l on l.evidence_id = vid || '/evidence_0000' || k)
-        select request_id, round(avg(confidence), 4) as confidence, arg_min(source_node_id, pos) as source_node_id, count(*) as merged, length(string_agg(claim, ' | ' order by pos)) as claim_length from w group by 1""",
+        select request_id, round(avg(confidence), 4) as confidence, string_agg(claim, ' | ' order by pos) as claim, string_agg(detail, chr(10) order by pos) as detail, arg_min(source_node_id, pos) as source_node_id, arg_min(s, pos) as s, arg_min(e, pos) as e, count(*) as merged from w group by 1""",
     "st4_cite": f"{_LEDGER} select video_id, evidence_id like '%00001' as used_in_final_answer, count(*) as n from ledger group by 1, 2",
-    "tk4_answer_evidence": f"{_LEDGER} select * from (select video_id, row_number() over (partition by video_id order by confidence desc, s, source_node_id) as rank, confidence from ledger) where rank <= 4",
+    "tk4_answer_evidence": f"{_LEDGER} select * from (select video_id, row_number() over (partition by video_id order by confidence desc, s, source_node_id, evidence_id) as rank, evidence_id, claim, confidence from ledger) where rank <= 4",
     "jn9_new_evidence": r"""with r as (select distinct video_id, ord, round(span_start, 2) s, round(span_end, 2) e, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) d from speech_spans where text is not null)
         select video_id, ord from r a where not exists (select 1 from r b where b.ord % 2 = 0 and a.video_id = b.video_id and a.s = b.s and a.e = b.e and a.d = b.d)""",
     "wn5_latest_search": f"with {_STEPS} select session, step, coalesce(last_value(case when action_type = 'SEARCH' and trim(query) <> '' then trim(query) end ignore nulls) over (partition by session order by step rows unbounded preceding), 'the question') as search_query from steps",
@@ -439,6 +486,6 @@ ORACLE = {
         select * exclude (ord) from (select *, row_number() over (partition by session order by score desc, s, ord, node_id) as rank from f) where rank <= 8""",
     "st2_status": f"{_TREE}, x as (select printf('%s_scene_%03d', video_id, i + 1) node_id from scenes) select case when node_id = 'vid_0000000_scene_001' then 'expanded' else 'unopened' end as status, count(*) as n from x where node_id <> 'vid_0000000_scene_002' group by 1",
     "st7_visual_sets": "select granularity, count(*) as n from visual_spans where granularity in ('scene', 'clip') group by 1",
-    "prj21_granularity": "select case when span_end - span_start >= 20 then 'scene' else 'clip' end as granularity, count(*) as n from visual_spans where span_end >= span_start and not isnan(span_start) and not isnan(span_end) group by 1",
+    "prj21_granularity": "select case when span_end - span_start >= 20 then 'scene' else 'clip' end as granularity, count(*) as n from (select distinct video_id, ord, span_start, span_end from visual_spans) where span_end >= span_start and not isnan(span_start) and not isnan(span_end) group by 1",
     "sc5_word_level": "select video_id, count(*) >= 8 and avg(case when length(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) <= 3 then 1.0 else 0.0 end) >= 0.9 as word_level from speech_spans where text is not null group by 1",
 }

@@ -327,9 +327,10 @@ _ERR = "coalesce(list_bool_or(list_transform(code_blocks, lambda b: coalesce(b.r
 _BLOCKS = "list_filter(coalesce(code_blocks, []), lambda b: b is not null)"
 _MSG = r"""case when b.result.stdout <> '' then chr(10) || b.result.stdout end, case when b.result.stderr <> '' then chr(10) || b.result.stderr end,
    case when length(list_filter(map_keys(b.result.locals), lambda k: k not like '\_%' escape '\')) > 0 then 'REPL variables: [''' || array_to_string(list_filter(map_keys(b.result.locals), lambda k: k not like '\_%' escape '\'), ''', ''') || ''']' || chr(10) end"""
+_SHOWN = f"coalesce(nullif(concat_ws(chr(10) || chr(10), {_MSG}), ''), 'No output')"
 _HIST = f"""{_I}, h as (select run_id, iteration, 0 pos, 'assistant' role, coalesce(response, '') content from i
    union all select run_id, iteration, k, 'user', 'Code executed:' || chr(10) || '```python' || chr(10) || coalesce(b.code, '') || chr(10) || '```' || chr(10) || chr(10) || 'REPL output:' || chr(10)
-     || coalesce(nullif(concat_ws(chr(10) || chr(10), {_MSG}), ''), 'No output') from (select run_id, iteration, unnest({_BLOCKS}) b, unnest(range(1, length({_BLOCKS}) + 1)) k from i))"""
+     || case when length({_SHOWN}) > {tr.MAX_RESULT} then substr({_SHOWN}, 1, {tr.MAX_RESULT}) || '... + [' || (length({_SHOWN}) - {tr.MAX_RESULT}) || ' chars...]' else {_SHOWN} end from (select run_id, iteration, unnest({_BLOCKS}) b, unnest(range(1, length({_BLOCKS}) + 1)) k from i))"""
 _NOUN = "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace({0}, ' ,', ','), ' .', '.'), ' !', '!'), ' ?', '?'), ' ;', ';'), ' :', ':'), ' n''t', 'n''t'), ' ''m', '''m'), ' ''re', '''re'), ' ''ve', '''ve'), ' ''ll', '''ll'), ' ''d', '''d'), ' )', ')'), '( ', '(')"
 
 ORACLE = {
@@ -345,11 +346,13 @@ ORACLE = {
         select run_id, iteration, tokens, cast(floor(token_limit * 0.85) as bigint) as threshold, token_limit, tokens >= cast(floor(token_limit * 0.85) as bigint) as compact from t""",
     "wn1_error_streaks": f"""with e as (select run_id, cast(iteration as bigint) iteration, bool_or({_ERR}) failed from iterations group by 1, 2), g as (select *, sum(case when failed then 0 else 1 end) over (partition by run_id order by iteration rows unbounded preceding) island from e),
         s as (select *, case when failed then row_number() over (partition by run_id, island order by iteration) - case when island > 0 then 1 else 0 end else 0 end streak from g) select run_id, iteration, failed, streak, streak >= 2 as tripped from s""",
-    "wn3_running_limits": f"""with {_C}, s as (select run_id, completion_id, sum(cast(trunc(coalesce(total_cost, 0) * 1e9) as bigint)) over w xc, sum(coalesce(total_input_tokens, 0) + coalesce(total_output_tokens, 0)) over w xt, sum(cast(trunc(coalesce(execution_time, 0) * 1e6) as bigint)) over w xs from c window w as (partition by run_id order by completion_id rows unbounded preceding))
+    "wn3_running_limits": f"""with c as (select completion_id, any_value(run_id) run_id, any_value(total_cost) total_cost, any_value(total_input_tokens) total_input_tokens, any_value(total_output_tokens) total_output_tokens,
+          any_value(execution_time) execution_time, min(created_at) made from completions group by 1), s as (select run_id, completion_id, sum(cast(trunc(coalesce(total_cost, 0) * 1e9) as bigint)) over w xc, sum(coalesce(total_input_tokens, 0) + coalesce(total_output_tokens, 0)) over w xt, sum(cast(trunc(coalesce(execution_time, 0) * 1e6) as bigint)) over w xs from c window w as (partition by run_id order by made nulls first, completion_id rows unbounded preceding))
         select run_id, completion_id, round(xc / 1e9, 6) as cost, xt as tokens, round(xs / 1e6, 4) as "seconds", xc > 50000000 as over_cost, xt > 20000 as over_tokens, xs > 60000000 as over_time from s""",
     "wn10_history": f"with {_HIST} select run_id, iteration, role, count(*) as messages, sum(length(content)) as characters from h group by 1, 2, 3",
-    "sc9_execution_messages": f"with {_HIST} select run_id, iteration, pos, substr(content, 1, 60) as beginning from h where role = 'user'",
-    "ct3_compacted": f"with {_HIST}, m as (select * from h where iteration = 1 and pos < 2) select role, count(*) as n from (select role from m union all select 'assistant' from (select distinct run_id from h where iteration = 1) union all select 'user' from (select distinct run_id from h where iteration = 1)) group by 1",
+    "sc9_execution_messages": f"with {_HIST} select run_id, iteration, pos, content from h where role = 'user'",
+    "ct3_compacted": f"""with {_HIST}, n as (select run_id, row_number() over (partition by run_id order by iteration, pos) - 1 as ord, role, content from h), r as (select distinct run_id from h)
+        select * from n where ord < 2 union all select run_id, 2, 'assistant', 'summary' from r union all select run_id, 3, 'user', 'Continue from the summary above.' from r""",
     "ag5_run_summary": f"""with {_I}, p as (select run_id, iteration, final_answer, {_BLOCKS} b, {_ERR} e, iteration_time from i),
         q as (select run_id, iteration, final_answer, length(b) n, e, coalesce(list_sum(list_transform(b, lambda x: length(list_filter(coalesce(x.result.rlm_calls, []), lambda y: y is not null)))), 0) k, coalesce(iteration_time, list_sum(list_transform(b, lambda x: coalesce(x.result.execution_time, 0.0))), 0.0) t from p)
         select run_id, count(*) as iterations, sum(n) as blocks, sum(k) as calls, round(sum(cast(round(t * 10000) as bigint)) / 10000, 4) as seconds, bool_or(e) as errors, arg_max(final_answer, iteration) filter (where final_answer <> '') as final_answer from q group by 1""",
@@ -367,7 +370,7 @@ ORACLE = {
     "src7_log_kinds": "select run_id, json_extract_string(try_cast(line as json), '$.type') as kind, count(*) as lines from iteration_log where json_valid(line) and json_extract_string(try_cast(line as json), '$.type') is not null group by 1, 2",
     "snk4_numbering": f"with {_I} select run_id, iteration, row_number() over (partition by run_id order by iteration) as number from i",
     "jn6_not_done": "select distinct run_id from runs where run_id not in (select run_id from iterations)",
-    "prj7_filters": f"with {_R} select run_id, backend, environment_type from r where backend is not null and environment_type in ('local', 'docker') order by run_id limit 25",
+    "prj7_filters": f"with {_R} select run_id, backend, environment_type from r where backend is not null and environment_type in ('local', 'docker')",
     "ag9_counts": "select video_id, 'speech' as kind, count(*) as n from speech_spans group by 1 union all select video_id, 'visual', count(*) from visual_spans group by 1 union all select video_id, 'ocr', count(*) from ocr_spans group by 1",
     "prj8_safe_metadata": "select distinct video_id, length(list_filter(map_keys(metadata), lambda k: not (contains(lower(k), 'api') and contains(lower(k), 'key')))) as kept from artifacts where metadata is not null",
     "prj20_audio_paths": "select doc_id % 3 <> 1 as audio, count(*) as n from documents group by 1",

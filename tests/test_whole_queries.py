@@ -1,4 +1,4 @@
-"""Queries whose SQL covers a part of the job only: the whole of it, checked here."""
+"""Queries that go over everything: checked level by level, against brute force and beyond the old cuts."""
 
 import math
 import random
@@ -29,10 +29,7 @@ def rows_of(spark, name):
     return registry.all_queries()[name](spark, str(DATA)).collect()
 
 
-CLIP_W = "clips_w as (select *, printf('%s_scene_%03d_seg_%03d_clip_%03d', video_id, i + 1, j + 1, k + 1) node_id from clips)"
-LEVEL_SQL = {
-    "scene": mq._SCENE_NODES, "segment": mq._SEGMENT_NODES, "clip": f"{mq._TREE}, {CLIP_W}, {mq._visual('clip', 'clips_w')}",
-}
+LEVEL_SQL = {"scene": mq._SCENE_NODES, "segment": mq._SEGMENT_NODES, "clip": mq._CLIP_NODES}
 
 
 @tables
@@ -41,8 +38,8 @@ def test_search_goes_over_scenes_segments_and_clips(spark, duck):
     sql = registry.all_sql()
     reasons, hits = Counter(), []
     for nodes in LEVEL_SQL.values():
-        reasons.update(duck.execute(sql["rt7_reasons"].replace(mq._SEGMENT_NODES, nodes)).fetchall())
-        hits += duck.execute(f"{mq._HITS.replace(mq._SEGMENT_NODES, nodes)} select video_id, node_id, modality, round(score, 4), s from hits").fetchall()
+        reasons.update(duck.execute(sql["rt7_reasons"].replace(mq._ALL_NODES, nodes)).fetchall())
+        hits += duck.execute(f"{mq._HITS.replace(mq._ALL_NODES, nodes)} select video_id, node_id, modality, round(score, 4), s from hits").fetchall()
     assert Counter((r["node_id"], r["reason"]) for r in rows_of(spark, "rt7_reasons")) == reasons
     assert {"_seg_" in n for n, _ in reasons} == {"_clip_" in n for n, _ in reasons} == {True, False}
     best = {}
@@ -58,7 +55,7 @@ def test_search_goes_over_scenes_segments_and_clips(spark, duck):
 def test_inverted_index_holds_scenes_segments_and_clips(spark, duck):
     want = Counter()
     for nodes in LEVEL_SQL.values():
-        for token, modality, n in duck.execute(registry.all_sql()["jn8_inverted_index"].replace(mq._SCENE_NODES, nodes)).fetchall():
+        for token, modality, n in duck.execute(registry.all_sql()["jn8_inverted_index"].replace(mq._ALL_NODES, nodes)).fetchall():
             want[token, modality] += n
     assert {(r["token"], r["modality"]): r["nodes"] for r in rows_of(spark, "jn8_inverted_index")} == want
 

@@ -6,7 +6,7 @@ import functools
 import io
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -20,11 +20,11 @@ from spanforge.session import spread
 TYPES = ["name", "email", "phone", "id_number", "address"]
 TAGS = ["O"] + [f"{p}-{t}" for t in TYPES for p in "BI"]
 MODEL = Path(__file__).with_name("pii_model.npz")
-#: Characters of a window and of what it shares with the next one; no item is longer than the overlap.
+#: Characters of a window and of what it shares with the next one.
 WINDOW, OVERLAP = 384, 96
 #: Windows decoded at a time.
 BATCH = 512
-#: Names up to which a lexicon goes along with every task.
+#: Names up to which a lexicon goes along with every task; the words of a larger one are joined to the documents.
 MAX_LEXICON = 1_000_000
 
 _KNOWN = " \n\t" + "".join(map(chr, range(33, 127))) + "áàâäãåæçéèêëíìîïñóòôöõøœúùûüýÿßÁÀÂÄÇÉÈÊËÍÎÏÑÓÔÖØŒÚÙÛÜ“”„‘’«»–—…º°·•¿¡€£№"
@@ -51,6 +51,12 @@ def char_ids(text: str, listed: list[tuple[int, int]]) -> np.ndarray:
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
+def lexicon_words(text: str) -> set[str]:
+    """What of a text is looked up in a lexicon: its words in lower case, also without a possessive ending."""
+    found = {m[0].lower() for m in _WORD.finditer(text)}
+    return found | {w[:-2] for w in found if w[-2:] in ("'s", "’s")}
+
+
 def listed_words(text: str, lexicon: frozenset[str]) -> list[tuple[int, int]]:
     """The words of a text that the lexicon lists, without regard to case; a possessive ending is not part of one."""
     found = []
@@ -94,13 +100,16 @@ def _spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
     return found
 
 
-def tag_texts(texts: list[str], lexicon: frozenset[str], model: BiLstmCrf) -> list[list[tuple[int, int, str]]]:
-    """The items of each text as (start, end, type), in order and without overlap.
+def tag_texts(texts: list[str], lexicon: frozenset[str] | list[frozenset[str]], model: BiLstmCrf) -> list[list[tuple[int, int, str]]]:
+    """The items of each text as (start, end, type), in order and without overlap. lexicon: the listed names, or
+    for each text those that it holds.
 
     All windows of all texts are decoded in batches of like length. Where windows overlap, an
     item is taken from the window that sees most of its surroundings; one that a window's edge
-    cuts loses against the whole one of the neighbour."""
-    coded = [char_ids(t, listed_words(t, lexicon)) for t in texts]
+    cuts loses against a whole one of the neighbour. Items longer than the overlap are cut in every
+    window: their parts are joined."""
+    names = lexicon if isinstance(lexicon, list) else [lexicon] * len(texts)
+    coded = [char_ids(t, listed_words(t, n)) for t, n in zip(texts, names)]
     jobs = [(i, a, b) for i, ids in enumerate(coded) for a, b in windows(len(ids)) if b > a]
     jobs.sort(key=lambda j: j[2] - j[1])
     found: list[list[tuple]] = [[] for _ in texts]
@@ -120,9 +129,22 @@ def tag_texts(texts: list[str], lexicon: frozenset[str], model: BiLstmCrf) -> li
     return [_reconciled(text, spans) for text, spans in zip(texts, found)]
 
 
+def _joined(spans: list[tuple]) -> list[tuple]:
+    """spans with the cut parts of one item joined where no window shows it whole."""
+    whole = [s for s in spans if not s[0]]
+    cut = sorted((s for s in spans if s[0] and all(s[3] <= w[2] or s[2] >= w[3] for w in whole)), key=lambda s: (s[4], s[2]))
+    out: list[tuple] = []
+    for s in cut:
+        if out and out[-1][4] == s[4] and s[2] <= out[-1][3]:
+            out[-1] = (1, 0, out[-1][2], max(out[-1][3], s[3]), s[4])
+        else:
+            out.append(s)
+    return whole + out
+
+
 def _reconciled(text: str, spans: list[tuple]) -> list[tuple[int, int, str]]:
     chosen: list[tuple[int, int, str]] = []
-    for _, _, s, e, kind in sorted(spans):
+    for _, _, s, e, kind in sorted(_joined(spans)):
         if all(e <= a or s >= b for a, b, _ in chosen):
             chosen.append((s, e, kind))
     checked = [x for x in (_checked(text, *span) for span in sorted(chosen)) if x]
@@ -158,13 +180,20 @@ def _checked(text: str, start: int, end: int, kind: str) -> tuple[int, int, str]
             start, item = start + m.end(), item[m.end() :]
         item = re.sub(r"['’]s$", "", item.rstrip(" \n\t,;:|<>\"“”„«»()!?-/"))
         item = item.rstrip(" ,")
+        if (m := re.match(r"(.*?), ([^\W\d_].*)", item)) and m[2].islower() and not m[1].islower():  # words after a greeting
+            item = m[1]
         if item.endswith(".") and not re.search(r"(?:^|[\s.-])[^\W\d_]\.$", item):
             item = item.rstrip(".")
         ok = len(re.findall(r"[^\W\d_]", item)) >= 2 and not re.search(r"[@\d_(]", item) and text[start + len(item) : start + len(item) + 1] != "@"
     elif kind == "email":
-        base = max(0, start - 80)
-        near = text[base : end + 60]
-        whole = next((m for r in _EMAILS for m in r.finditer(near) if base + m.start() < end and base + m.end() > start), None)
+        reach, whole = 80, None
+        while True:  # as far as the address goes
+            base, stop = max(0, start - reach), min(len(text), end + reach)
+            near = text[base:stop]
+            whole = next((m for r in _EMAILS for m in r.finditer(near) if base + m.start() < end and base + m.end() > start), None)
+            if not whole or not (whole.start() == 0 and base > 0 or whole.end() == len(near) and stop < len(text)):
+                break
+            reach *= 4
         if whole:
             start, item = base + whole.start(), whole[0]
         ok = whole is not None
@@ -172,7 +201,9 @@ def _checked(text: str, start: int, end: int, kind: str) -> tuple[int, int, str]
         item = re.sub(r"[^\w]+$", "", item)
         if start and text[start - 1] in "(+" and item[:1].isdigit():
             start, item = start - 1, text[start - 1] + item
-        ok = len(re.findall(r"\d", item)) >= 6 or len(item.split()) >= 7
+        digits = len(re.findall(r"\d", item))
+        # a number written in one piece has an area code; letters stand only before an extension
+        ok = len(item.split()) >= 7 if not digits else digits >= (9 if item.isdigit() else 6) and not re.search(r"\d[a-wyz]|[a-f]\d", item, re.I)
     elif kind == "id_number":
         item = item.rstrip(" \n\t,;:.|<>\"“”„«»)!?-")
         if m := _ID_WORDS.match(item):
@@ -186,52 +217,67 @@ def _checked(text: str, start: int, end: int, kind: str) -> tuple[int, int, str]
     return (start, start + len(item), kind) if ok else None
 
 
-def names_of(lexicon: DataFrame) -> frozenset[str]:
-    """The lexicon's names in lower case; a lexicon beyond MAX_LEXICON is refused, as it goes to every task."""
+def names_of(lexicon: DataFrame) -> frozenset[str] | None:
+    """The lexicon's names in lower case, or None if they are more than MAX_LEXICON."""
     rows = lexicon.filter("name is not null").select(F.lower("name").alias("name")).distinct().limit(MAX_LEXICON + 1).collect()
-    if len(rows) > MAX_LEXICON:
-        raise ValueError(f"the name lexicon has more than {MAX_LEXICON} names")
-    return frozenset(r["name"] for r in rows)
+    return None if len(rows) > MAX_LEXICON else frozenset(r["name"] for r in rows)
 
 
-def find_items(documents: DataFrame, lexicon: DataFrame, model_path: str = str(MODEL)) -> DataFrame:
-    """(doc_id, item_start, item_end, pii_type, pii_text), offsets in characters, one row per occurrence.
+def _with_listed(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """documents with _listed, the words of each text that the lexicon lists: an equi-join on the distinct words."""
+
+    @F.pandas_udf("array<string>")
+    def words(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted(lexicon_words(t)) if t else [])
+
+    rows = documents.select("doc_id", F.explode(words("text")).alias("_word")).distinct()
+    names = lexicon.filter("name is not null").select(F.lower("name").alias("_word")).distinct()
+    listed = rows.join(names, "_word").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("_word").alias("_listed"))
+    return documents.join(listed, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+
+
+def _tagged(documents: DataFrame, lexicon: DataFrame, model_path: str, answer: Callable, schema: str) -> DataFrame:
+    """answer(ids, texts, items of each text) for every batch of documents; null and empty texts have no items.
 
-    Null and empty texts have no items; long texts are read whole, in windows. Each text is
-    worked on by itself: nothing is shuffled, and a copy counts as a document of its own."""
-    names = documents.sparkSession.sparkContext.broadcast(names_of(lexicon))
+    Each text is worked on by itself, whole, in windows: nothing is shuffled but to spread a
+    small table, and a copy counts as a document of its own."""
+    rows, names = documents.select("doc_id", "text"), names_of(lexicon)
+    rows = spread(rows, "doc_id")
+    if names is None:
+        rows = _with_listed(rows, lexicon)
+    shared = documents.sparkSession.sparkContext.broadcast(names)  # at most MAX_LEXICON names
 
-    def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_model(model_path)
         for batch in batches:
-            batch = batch[batch["text"].notna() & (batch["text"] != "")]
-            rows = []
-            texts, ids = batch["text"].tolist(), batch["doc_id"].tolist()
-            for doc, text, items in zip(ids, texts, tag_texts(texts, names.value, model)):
-                rows += [(doc, s, e, k, text[s:e]) for s, e, k in items]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_start", "item_end", "pii_type", "pii_text"])
+            texts = [t if isinstance(t, str) else None for t in batch["text"]]
+            own = shared.value
+            if own is None:
+                own = [frozenset(x) if x is not None else frozenset() for x in batch["_listed"]]
+            yield answer(batch["doc_id"], texts, tag_texts([t or "" for t in texts], own, model))
+
+    return rows.mapInPandas(run, schema)
+
+
+def find_items(documents: DataFrame, lexicon: DataFrame, model_path: str = str(MODEL)) -> DataFrame:
+    """(doc_id, item_start, item_end, pii_type, pii_text), offsets in characters, one row per occurrence."""
 
-    return spread(documents.select("doc_id", "text"), "doc_id").mapInPandas(
-        tag, "doc_id bigint, item_start int, item_end int, pii_type string, pii_text string"
-    )
+    def rows(ids, texts, found) -> pd.DataFrame:
+        listed = [(doc, s, e, k, text[s:e]) for doc, text, items in zip(ids, texts, found) for s, e, k in items]
+        return pd.DataFrame(listed, columns=["doc_id", "item_start", "item_end", "pii_type", "pii_text"])
+
+    return _tagged(documents, lexicon, model_path, rows, "doc_id bigint, item_start int, item_end int, pii_type string, pii_text string")
 
 
 def redacted(documents: DataFrame, lexicon: DataFrame, model_path: str = str(MODEL)) -> DataFrame:
     """(doc_id, text): each item replaced by [TYPE], everything else unchanged; null stays null."""
-    names = documents.sparkSession.sparkContext.broadcast(names_of(lexicon))
 
-    def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load_model(model_path)
-        for batch in batches:
-            texts = [t if isinstance(t, str) else None for t in batch["text"]]
-            full = [t for t in texts if t]
-            found = iter(tag_texts(full, names.value, model))
-            out = []
-            for text in texts:
-                if text:
-                    for s, e, kind in reversed(next(found)):
-                        text = f"{text[:s]}[{kind.upper()}]{text[e:]}"
-                out.append(text)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": out})
-
-    return spread(documents.select("doc_id", "text"), "doc_id").mapInPandas(rewrite, "doc_id bigint, text string")
+    def rows(ids, texts, found) -> pd.DataFrame:
+        out = []
+        for text, items in zip(texts, found):
+            for s, e, kind in reversed(items):
+                text = f"{text[:s]}[{kind.upper()}]{text[e:]}"
+            out.append(text)
+        return pd.DataFrame({"doc_id": ids, "text": out})
+
+    return _tagged(documents, lexicon, model_path, rows, "doc_id bigint, text string")

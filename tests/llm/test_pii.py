@@ -1,8 +1,12 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 
 from spanforge.llm.bilstm import BiLstmCrf
-from spanforge.llm.pii import OVERLAP, WINDOW, find_items, load_model, redacted, tag_texts, windows
+from spanforge.llm import pii
+from spanforge.llm.pii import OVERLAP, WINDOW, _joined, find_items, load_model, redacted, tag_texts, windows
+from spanforge.llm.pii_texts import _DECOYS, _ITEMS, _PLAIN, _part, frames, literals
 from spanforge.llm.train_pii import accuracy
 
 DOCS = "doc_id bigint, text string, pii_type int"
@@ -71,9 +75,50 @@ def test_items_of_texts(text, items):
     assert found(text) == items
 
 
-def test_held_out_texts():
-    for kind, (precision, recall) in accuracy(load_model(), columns=150).items():
-        assert precision > 0.85 and recall > 0.85, kind
+#: What is reached on held-out frames and names, without a lexicon; names stay below 0.9 (see the README).
+HELD_OUT = {"name": (0.8, 0.55), "email": (0.95, 0.95), "phone": (0.95, 0.95), "id_number": (0.95, 0.95), "address": (0.9, 0.95)}
+
+
+def test_texts_of_held_out_frames_and_names():
+    for kind, (precision, recall, items) in accuracy(load_model(), 200).items():
+        assert items > 25 and precision >= HELD_OUT[kind][0] and recall >= HELD_OUT[kind][1], (kind, precision, recall)
+
+
+def test_texts_of_known_frames_with_a_partial_lexicon():
+    for kind, (precision, recall, _) in accuracy(load_model(), 200, 5, False, True).items():
+        assert precision > 0.85 and recall > 0.85, (kind, precision, recall)
+
+
+def test_training_shares_no_sentence_with_the_tables():
+    pq = pytest.importorskip("pyarrow.parquet")
+    folder = Path("/root/testdata/sf0.01")
+    if not folder.exists():
+        pytest.skip("no test tables here")
+    columns = {"documents": ["text"], "speech_spans": ["text"], "ocr_spans": ["text"], "visual_spans": ["summary"], "completions": ["prompt", "response"]}
+    texts = [t.lower() for n, cs in columns.items() for c in cs for t in pq.read_table(folder / f"{n}.parquet", columns=[c])[c].unique().to_pylist() if t]
+    everything = "\0".join(texts)
+    assert len(frames()) > 400
+    assert not [(p, f) for f in frames() for p in literals(f) if p.lower() in everything]
+
+
+def test_held_out_frames_and_names_are_not_trained_on():
+    for table in (_ITEMS, _DECOYS, _PLAIN):
+        for trained, held in table.values():
+            assert held and not set(trained) & set(held)
+    assert not set(_part(list(range(40)), True)) & set(_part(list(range(40)), False))
+
+
+@pytest.mark.parametrize("n", [30, 200, 900])
+def test_items_longer_than_the_overlap_are_whole(n):
+    address = "a" * n + "@example.org"
+    for shift in (0, 150, 300, 350):
+        text = "word " * (shift // 5) + f"Write to {address} today. " + "word " * 40
+        assert ("email", address) in found(text)
+
+
+def test_cut_parts_are_joined_only_without_a_whole_one():
+    assert _joined([(1, 0, 300, 384, "address"), (2, 0, 288, 672, "address"), (1, 0, 576, 700, "address")]) == [(1, 0, 288, 700, "address")]
+    assert _joined([(1, 0, 300, 384, "name"), (0, -9, 310, 390, "name")]) == [(0, -9, 310, 390, "name")]
 
 
 def test_long_texts_are_read_whole_and_windows_agree():
@@ -93,3 +138,12 @@ def test_tables(spark):
     clean = {r["doc_id"]: r["text"] for r in redacted(docs, lexicon).collect()}
     assert clean == {1: "Thanks [NAME]! Send the files to [EMAIL]. 😀 Only 3 parts were reused.", 2: None, 3: ""}
     assert find_items(docs.filter("false"), lexicon.filter("false")).count() == 0
+
+
+def test_a_large_lexicon_is_joined_with_the_same_result(spark, monkeypatch):
+    lexicon = spark.createDataFrame([("Grace", "given"), ("Haldersby", "family"), (None, "x")], "name string, kind string")
+    texts = ["Then Dr. Grace Haldersby's badge lists SSN 956-16-2641.", "Thanks Grace!", "", None, "Grace " * 400]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], DOCS)
+    few = sorted(map(tuple, find_items(docs, lexicon).collect()))
+    monkeypatch.setattr(pii, "MAX_LEXICON", 1)
+    assert pii.names_of(lexicon) is None and sorted(map(tuple, find_items(docs, lexicon).collect())) == few and few

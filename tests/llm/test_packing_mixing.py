@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as hs
 
-from spanforge.llm.mixing import Mix, budgets
+from spanforge.llm.mixing import Mix, budgets, pass_on
 from spanforge.llm.packing import packed, packing_patterns, split_documents
 from spanforge.llm.tokens import encoding, TOKENIZERS, VOCABULARY
 
@@ -58,7 +58,7 @@ def test_shortages_go_to_siblings_before_others():
     sizes = {("asr_a", "en"): 10, ("asr_b", "en"): 1000, ("asr_b", "de"): 1000, ("mail_c", "en"): 1000}
     targets = {"asr_a": (0.25, 2), "asr_b": (0.5, 1), "mail_c": (0.25, 1), "gone": (0.0, 3)}
     out = budgets(sizes, targets, 1000)
-    assert out["asr_a", "en"]["tokens"] == 20 and out["asr_a", "en"]["short"]
+    assert out["asr_a", "en"]["tokens"] == 20 and out["asr_a", "en"]["lacks"] == pytest.approx(230)
     assert out["asr_b", "en"]["tokens"] == pytest.approx(250 + 230) and out["asr_b", "de"]["tokens"] == pytest.approx(250)
     assert out["mail_c", "en"]["tokens"] == pytest.approx(250)
     full = budgets({("x", "en"): 10, ("y", "en"): 10}, {"x": (0.5, 1), "y": (0.5, 1)}, 1000)
@@ -96,3 +96,25 @@ def test_report_counts_the_chosen_documents(spark):
     assert report["lone"]["budget"] > report["lone"]["tokens"] == 0 and report["long"]["tokens"] < report["long"]["budget"]
     empty = Mix(spark.createDataFrame([], DOCS), targets).report().collect()
     assert len(empty) == 4 and all(r["tokens"] == 0 and r["actual_share"] == 0 for r in empty)
+
+
+def test_unfilled_rests_go_to_siblings_that_can_use_them():
+    leaf = lambda path, capacity, wanted, tokens: {"path": path, "capacity": capacity, "wanted": wanted, "tokens": tokens}
+    leaves = {("a", "en"): leaf(("x", "en"), 5000, 100.0, 100.0), ("b", "en"): leaf(("x", "en"), 5000, 100.0, 100.0), ("c", "de"): leaf(("y", "de"), 5000, 100.0, 100.0)}
+    assert pass_on(leaves, {("a", "en"): (0, 0), ("b", "en"): (96, 12), ("c", "de"): (98, 49)})
+    assert leaves["b", "en"]["tokens"] == pytest.approx(96 + 104) and leaves["a", "en"]["tokens"] == 0 and leaves["c", "de"]["tokens"] == pytest.approx(100)
+    assert not pass_on({("a", "en"): leaf(("x", "en"), 100, 100.0, 100.0)}, {("a", "en"): (100, 3)})
+
+
+def test_skewed_lengths_reach_the_planned_total(spark):
+    """Long documents leave gaps; short ones of other leaves close them. Reported and chosen tokens agree."""
+    rng = random.Random(4)
+    rows = [(i, "word " * rng.choice([3, 10, 40, 900]), rng.choice(["en", "de", None]), s, "") for s, base in (("asr_a", 0), ("asr_b", 1000), ("mail_c", 2000)) for i in range(base, base + 120)]
+    targets = spark.createDataFrame([("asr_a", 0.5, 1), ("asr_b", 0.3, 1), ("mail_c", 0.2, 1)], "source string, target_share double, max_repeats int")
+    mix = Mix(spark.createDataFrame(rows, DOCS), targets)
+    chosen = mix.chosen().collect()
+    report = {r["source"]: r for r in mix.report().collect()}
+    total = sum(r["tokens"] * r["repeats"] for r in chosen)
+    assert total >= 0.995 * mix.total and total == sum(r["tokens"] for r in report.values())
+    assert len({r["doc_id"] for r in chosen}) == len(chosen) and all(r["repeats"] == 1 for r in chosen)
+    assert sorted(map(tuple, chosen)) == sorted(map(tuple, Mix(spark.createDataFrame(rows, DOCS), targets).chosen().collect()))

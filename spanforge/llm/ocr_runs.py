@@ -30,19 +30,18 @@ def same_text(a: Column, na: Column, b: Column, nb: Column) -> Column:
     The edit distance is only computed where the lengths allow a match."""
     longest = F.greatest(F.length(a), F.length(b))
     allowed = F.floor(longest * F.lit(MAX_DIFFERENT) + F.lit(1e-9))
-    near = (F.abs(F.length(a) - F.length(b)) <= allowed) & (F.levenshtein(a, b) <= allowed)
+    near = (F.abs(F.length(a) - F.length(b)) <= allowed) & (F.levenshtein(a, b) <= allowed)  # levenshtein takes a constant bound only
     return (na == nb) & ((a == b) | F.coalesce(near, F.lit(False)))
 
 
 def readings(ocr: DataFrame) -> DataFrame:
-    """One row per (video_id, ord) with a text; null and blank texts and repeated rows are left out.
+    """The rows with a text; null and blank texts are left out.
 
     A text of marks only is a reading too; it equals another only in its exact marks."""
     shown = F.regexp_replace("text", r"^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$", "")
-    rows = ocr.select("video_id", F.col("ord").cast("bigint").alias("ord"), "span_start", "span_end", "text").filter(
+    return ocr.select("video_id", F.col("ord").cast("bigint").alias("ord"), "span_start", "span_end", "text").filter(
         F.col("text").isNotNull() & (shown != "")
     )
-    return rows.dropDuplicates(["video_id", "ord"])
 
 
 def normalised(rows: DataFrame) -> DataFrame:
@@ -53,31 +52,40 @@ def normalised(rows: DataFrame) -> DataFrame:
     )
 
 
-def runs(ocr: DataFrame, ranges: int | None = None) -> DataFrame:
+def runs(ocr: DataFrame, ranges: int | None = None, texts: bool = True) -> DataFrame:
     """(video_id, first_ord, last_ord, readings, start, end, duration, text), one row per run of one or
-    more consecutive readings of the same text, in order of span_start and ord.
+    more consecutive readings of the same text, in order of span_start and ord; without `texts` no text.
 
     Only the rows that differ from their predecessor are kept; the next kept row (lead) gives the
-    end of the run: its position the count, its predecessor's end the duration. Defined cases: an
-    unordered row (null start) comes first; a null video is a video of its own; a run of one
-    reading has readings 1; an empty table gives no rows."""
+    end of the run: its position the count, its predecessor's end the duration. What is compared
+    is looked up at once and left behind; only the last reading of each range goes on to the next.
+    Defined cases: repeated rows (same video, start and ord) count once; an unordered row (null
+    start) comes first; a null video is a video of its own; a run of one reading has readings 1; an empty
+    table gives no rows."""
     key, w = "video_id", inside("video_id", ORDER)
-    rows = into_ranges(readings(ocr), key, ORDER, ranges, normalised)
-    tail = F.struct("_l", "_n", "ord", "span_end")
-    rows = rows.withColumn("_here", tail).withColumn("_pos", F.row_number().over(w).cast("bigint"))
-    rows = rows.withColumn("_prev", F.lag("_here").over(w))
+
+    def prepared(parts: DataFrame) -> DataFrame:
+        """Behind the ranges: repeated rows lie side by side, so nothing is moved."""
+        rows = normalised(parts.dropDuplicates([key, *ORDER]))
+        return rows if texts else rows.drop("text")
+
+    rows = into_ranges(readings(ocr), key, ORDER, ranges, prepared)
+    lag = lambda c: F.lag(c).over(w)
+    here = F.struct("_l", "_n", "ord", "span_end")
+    rows = rows.withColumns({"_pos": F.row_number().over(w).cast("bigint"), "_pl": lag("_l"), "_pn": lag("_n"), "_po": lag("ord"), "_pe": lag("span_end")})
     # the last reading and the number of readings of each range, seen from the later ones
-    last = F.max_by("_here", F.struct("span_start", "ord"))
     by_range = Window.partitionBy(key).orderBy(RANGE)
     rows = carried(
-        rows, key, {"_last": last, "_count": F.count(F.lit(1))},
+        rows, key, {"_last": F.max_by(here, F.struct("span_start", "ord")), "_count": F.count(F.lit(1))},
         {"_carry": F.lag("_last").over(by_range), "_offset": F.coalesce(F.sum("_count").over(earlier_ranges(key)), F.lit(0))},
     )
-    rows = rows.withColumn("_before", F.coalesce("_prev", "_carry")).withColumn("_pos", F.col("_pos") + F.col("_offset"))
-    same = same_text(F.col("_l"), F.col("_n"), F.col("_before")["_l"], F.col("_before")["_n"])
-    rows = rows.withColumn("_opens", F.col("_before").isNull() | ~same)
+    before = lambda own, field: F.when(F.col("_pos") > 1, F.col(own)).otherwise(F.col("_carry")[field])
+    first = (F.col("_pos") == 1) & F.col("_carry").isNull()
+    same = same_text(F.col("_l"), F.col("_n"), before("_pl", "_l"), before("_pn", "_n"))
+    rows = rows.withColumns({"_opens": first | ~same, "_bo": before("_po", "ord"), "_be": before("_pe", "span_end"), "_at": F.col("_pos") + F.col("_offset")})
+    rows = rows.select(key, RANGE, "ord", "span_start", "span_end", *["text"] * texts, "_opens", "_bo", "_be", F.col("_at").alias("_pos"))
     # what a run needs of the row that opens the next one, or of the end of the video
-    edge = F.struct(F.col("_pos").alias("pos"), F.col("_before")["ord"].alias("ord"), F.col("_before")["span_end"].alias("end"))
+    edge = F.struct(F.col("_pos").alias("pos"), F.col("_bo").alias("ord"), F.col("_be").alias("end"))
     final = F.struct((F.col("_pos") + 1).alias("pos"), F.col("ord").alias("ord"), F.col("span_end").alias("end"))
     rows = rows.withColumn("_edge", edge).withColumn("_final", final)
     at = F.struct("span_start", "ord")
@@ -97,5 +105,5 @@ def runs(ocr: DataFrame, ranges: int | None = None) -> DataFrame:
         F.col("span_start").alias("start"),
         F.col("_next")["end"].alias("end"),
         (F.col("_next")["end"] - F.col("span_start")).alias("duration"),
-        "text",
+        *["text"] * texts,
     )

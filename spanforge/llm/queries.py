@@ -14,7 +14,7 @@ from spanforge.tables import table
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return runs(table(spark, sf, "ocr_spans")).filter("readings > 1").select("video_id", "first_ord", "last_ord")
+    return runs(table(spark, sf, "ocr_spans"), texts=False).filter("readings > 1").select("video_id", "first_ord", "last_ord")
 
 
 def p2_runs(spark: SparkSession, sf: str) -> DataFrame:

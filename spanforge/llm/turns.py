@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from spanforge.operators.ordered import RANGE, carried, earlier_ranges, inside, into_ranges, so_far
 from spanforge.session import durable
@@ -17,8 +12,9 @@ from spanforge.session import durable
 MAX_BROADCAST_NAMES = 100_000
 #: Spans of a turn whose texts are joined in one row, at most.
 PART_SPANS = 500
-#: A longer label is no speaker's name.
-MAX_LABEL = 60
+#: The order of the dialogue. Timing comes before numbering: two spans are ordered by their starts, and by their
+#: numbers where the starts are equal or missing. No other constraint can hold against these two.
+ORDER = ["span_start", "ord"]
 
 # Hesitation sounds and filler words of the four languages.
 HESITATIONS = "uh+|um+|erm+|h+m+|mm+|ähm?|euh|hum|eh"
@@ -40,8 +36,7 @@ def speaker_key(label: Column) -> Column:
     plain = F.regexp_replace(plain, r"^[\s\p{P}\p{S}]+|[\s\p{P}\p{S}]+$", "")
     plain = F.regexp_replace(plain, r"\s+", " ")
     number = F.regexp_extract(plain, NUMBERED, 1)
-    usable = ~plain.isin(*NO_SPEAKER) & (F.length(plain) <= MAX_LABEL)
-    return F.when(number != "", F.concat(F.lit("#"), number)).when(usable, plain)
+    return F.when(number != "", F.concat(F.lit("#"), number)).when(~plain.isin(*NO_SPEAKER), plain)
 
 
 def _labels(spans: DataFrame) -> DataFrame:
@@ -50,8 +45,8 @@ def _labels(spans: DataFrame) -> DataFrame:
     df = spans.withColumn("_bare", F.trim(bare)).withColumn("_lead", F.regexp_extract("_bare", rf"^(?:\s*(?:{_NOTE}))+", 0))
     df = df.withColumn("_notes", F.regexp_extract_all("_lead", F.lit(rf"({_NOTE})"), 1))
     df = df.withColumn("_rest", F.ltrim(F.expr("substring(_bare, length(_lead) + 1)")))
-    colon = r"^(>>\s*)?([\p{L}\p{N}][^:\[\]<>{}\n]{0,58}?)\s*:(?=\s|$)"
-    dash = r"^(>>\s*)?([\p{L}\p{N}][^:\n]{0,58}?)\s+-(?=\s|$)"
+    colon = r"^(>>\s*)?([\p{L}\p{N}][^:\[\]<>{}\n]*?)\s*:(?=\s|$)"
+    dash = r"^(>>\s*)?([\p{L}\p{N}][^:\n]*?)\s+-(?=\s|$)"
     df = df.withColumn("_by_colon", F.col("_rest").rlike(colon)).withColumn(
         "_label", F.when(F.col("_by_colon"), F.regexp_extract("_rest", colon, 2)).otherwise(F.regexp_extract("_rest", dash, 2))
     )
@@ -72,10 +67,17 @@ def _known(df: DataFrame, names: DataFrame, key: str) -> DataFrame:
     return joined.withColumn(key, F.when(F.col("_hit") | F.col(key).startswith("#"), F.col(key))).drop("_name", "_hit")
 
 
+def with_text(spans: DataFrame) -> DataFrame:
+    """The spans with a text; a start that is no number is none."""
+    start = F.nanvl("span_start", F.lit(None).cast("double")).alias("span_start")
+    rows = spans.select("video_id", F.col("ord").cast("bigint").alias("ord"), start, "span_end", "text", "speaker")
+    return rows.filter(F.col("text").isNotNull())
+
+
 def spoken(spans: DataFrame) -> DataFrame:
-    """The spans with a text, repeated rows once."""
-    rows = spans.select("video_id", F.col("ord").cast("bigint").alias("ord"), "span_start", "span_end", "text", "speaker")
-    return rows.filter(F.col("text").isNotNull()).dropDuplicates(["video_id", "ord"])
+    """The spans with a text, repeated rows once. Behind a range partitioning by the same columns, which puts
+    repeated rows side by side, this moves nothing."""
+    return with_text(spans).dropDuplicates(["video_id", *ORDER])
 
 
 def speaker_names(spans: DataFrame) -> tuple[DataFrame, bool]:
@@ -95,7 +97,7 @@ def cleaned(rows: DataFrame, names: DataFrame) -> DataFrame:
     df = _known(_known(df, names, "_k1"), names, "_k2")
     df = df.withColumn("_k3m", F.when(F.col("_marked"), F.col("_k3")))
     df = _known(df, names, "_k3").withColumn("_k3", F.coalesce("_k3", "_k3m"))
-    written = r"^(?:>>\s*)?[\p{L}\p{N}][^:\n]{0,58}?\s*(?::|\s-)(?=\s|$)"
+    written = r"^(?:>>\s*)?[\p{L}\p{N}][^:\n]*?\s*(?::|\s-)(?=\s|$)"
     body = F.when(F.col("_k3").isNotNull(), F.regexp_replace("_rest", written, "")).otherwise(F.col("_rest"))
     df = df.withColumn("_said", F.trim(F.regexp_replace(F.regexp_replace(body, _NOTE, " "), r"^>>|\s+", " ")))
     fillers = rf"(?iu)(?<![\p{{L}}\p{{N}}'’])(?:{HESITATIONS}|{FILLER_WORDS})(?![\p{{L}}\p{{N}}'’])"
@@ -113,89 +115,42 @@ def cleaned(rows: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def precedence_order(video: list, start: list, ordinal: list) -> list[int]:
-    """Row numbers in the order of the dialogue, for the rows of one range.
-
-    Edges: timing (from the last span of one start to the first of the next start of the video)
-    and cue (from each span to the one with the next ordinal). A cue edge that runs against the
-    timing is a conflict and is dropped: starts are measured, numbers only counted. What is left
-    has no cycle and is sorted topologically, free choices by video, start and ordinal. A null
-    start or video comes first."""
-    low = float("-inf")
-    entity = [(v is not None, v or "") for v in video]
-    time = [low if s is None or s != s else s for s in start]
-    number = [-1 if o is None else o for o in ordinal]
-    rank = [(entity[i], time[i], number[i], i) for i in range(len(video))]
-    follows: list[list[int]] = [[] for _ in rank]
-    waiting = [0] * len(rank)
-
-    def edge(a: int, b: int) -> None:
-        follows[a].append(b)
-        waiting[b] += 1
-
-    by_time = [r[-1] for r in sorted(rank)]
-    for a, b in zip(by_time, by_time[1:]):
-        if entity[a] == entity[b] and time[a] < time[b]:
-            edge(a, b)
-    by_cue = sorted(range(len(rank)), key=lambda i: (entity[i], number[i], time[i], i))
-    for a, b in zip(by_cue, by_cue[1:]):
-        if entity[a] == entity[b] and time[a] <= time[b]:
-            edge(a, b)
-    ready = [rank[i] for i in range(len(rank)) if not waiting[i]]
-    heapq.heapify(ready)
-    order = []
-    while ready:
-        i = heapq.heappop(ready)[-1]
-        order.append(i)
-        for j in follows[i]:
-            waiting[j] -= 1
-            if not waiting[j]:
-                heapq.heappush(ready, rank[j])
-    return order
-
-
-def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of a range in the order of the dialogue; texts stay in Arrow."""
-    batches = list(batches)
-    if not sum(b.num_rows for b in batches):
-        return
-    table = pa.Table.from_batches(batches)
-    order = precedence_order(*(table[c].to_pylist() for c in ("video_id", "span_start", "ord")))
-    table = table.take(pa.array(order)).append_column("_pos", pa.array(range(len(order)), pa.int64()))
-    yield from table.combine_chunks().to_batches(max_chunksize=20_000)
-
-
-def turn_spans(spans: DataFrame, ranges: int | None = None) -> DataFrame:
-    """cleaned() with turn, the number of the turn in its video from 1."""
-    key, order = "video_id", ["_pos"]
+def turn_spans(spans: DataFrame, ranges: int | None = None, texts: bool = True) -> DataFrame:
+    """The spans with speech in the order of the dialogue, with turn, the number of the turn in its video from 1.
+
+    A null start comes first. The precedence of timing over numbering leaves no free choice and
+    no cycle, so the topological order is a sort: ranges by (video, start, number), each sorted by
+    itself, and the speaker carried over their borders. Raw texts are moved once, behind which
+    they are cleaned; without `texts` they stay behind."""
+    key = "video_id"
     names, few = speaker_names(spans)
-    rows = spoken(spans)
+    keep = [key, *ORDER, "span_end", "speaker_key"] + ["text"] * texts
+    rows = with_text(spans)
 
-    def ordered(parts: DataFrame) -> DataFrame:
-        schema = T.StructType([*parts.schema.fields, T.StructField("_pos", T.LongType())])
-        return parts.mapInArrow(_ordered, schema)
+    def clean(parts: DataFrame) -> DataFrame:
+        return cleaned(parts.dropDuplicates([key, *ORDER]), F.broadcast(names)).select(*keep)
 
     if few:  # the joins with the names are broadcast and leave the rows where they are
-        after = lambda parts: ordered(cleaned(parts, F.broadcast(names)))
+        rows = into_ranges(rows, key, ORDER, ranges, clean)
     else:
-        rows, after = cleaned(rows, names), ordered
-    rows = into_ranges(rows, key, ["span_start", "ord"], ranges, after)
-    w = so_far(key, order)
+        rows = into_ranges(cleaned(spoken(spans), names).select(*keep), key, ORDER, ranges)
+    w = so_far(key, ORDER)
     rows = rows.withColumn("_own", F.last("speaker_key", ignorenulls=True).over(w))
+    at = F.struct(*ORDER)
     rows = carried(
-        rows, key, {"_last": F.max_by("speaker_key", F.when(F.col("speaker_key").isNotNull(), F.col("_pos"))), "_n": F.count(F.lit(1))},
+        rows, key, {"_last": F.max_by("speaker_key", F.when(F.col("speaker_key").isNotNull(), at)), "_n": F.count(F.lit(1))},
         {"_carry": F.last("_last", ignorenulls=True).over(earlier_ranges(key)), "_earlier": F.sum("_n").over(earlier_ranges(key))},
     )
     rows = rows.withColumn("_who", F.coalesce("_own", "_carry", F.lit("")))
     outside = F.when(F.col("_earlier").isNotNull(), F.coalesce("_carry", F.lit("")))
-    rows = rows.withColumn("_prev", F.coalesce(F.lag("_who").over(inside(key, order)), outside))
+    rows = rows.withColumn("_prev", F.coalesce(F.lag("_who").over(inside(key, ORDER)), outside))
     rows = rows.withColumn("_opens", (F.col("_prev").isNull() | (F.col("_prev") != F.col("_who"))).cast("bigint"))
-    rows = rows.drop("_own", "_carry", "_earlier", "_prev").withColumn("_turn", F.sum("_opens").over(w))
+    rows = rows.drop("_own", "_carry", "_earlier", "_prev").withColumn("_turn", F.sum("_opens").over(w)).withColumn("_pos", F.row_number().over(inside(key, ORDER)))
     rows = carried(rows, key, {"_opened": F.sum("_opens")}, {"_done": F.sum("_opened").over(earlier_ranges(key))})
-    part = F.col(RANGE).cast("bigint") * 1_000_000 + F.floor(F.col("_pos") / PART_SPANS)  # ascending, like the ranges
+    part = F.col(RANGE).cast("bigint") * 1_000_000_000 + F.floor(F.col("_pos") / PART_SPANS)  # ascending, like the ranges
     return rows.select(
         key, (F.col("_turn") + F.coalesce("_done", F.lit(0))).alias("turn"), part.alias("part"), "_pos", "ord",
-        "span_start", "span_end", F.col("_who").alias("speaker"), "text",
+        "span_start", "span_end", F.col("_who").alias("speaker"), *["text"] * texts,
     )
 
 
@@ -203,7 +158,7 @@ def turns(spans: DataFrame, ranges: int | None = None) -> DataFrame:
     """(video_id, turn, first_ord, last_ord, speaker, start, end, spans), one row per turn."""
     at = F.struct("part", "_pos")
     return (
-        turn_spans(spans, ranges)
+        turn_spans(spans, ranges, texts=False)
         .groupBy("video_id", "turn")
         .agg(
             F.min_by("ord", at).alias("first_ord"),

@@ -1,7 +1,7 @@
 import random
 
 from spanforge.llm import turns as module
-from spanforge.llm.turns import cleaned, precedence_order, speaker_names, spoken, turn_texts, turns
+from spanforge.llm.turns import cleaned, speaker_names, spoken, turn_spans, turn_texts, turns
 
 SCHEMA = "video_id string, ord int, text string, span_start double, span_end double, speaker string, language string"
 
@@ -38,13 +38,20 @@ def test_text_is_cleaned(spark):
     assert got == ["The host went home."]
 
 
-def test_order_follows_time_then_number():
-    assert precedence_order(["v"] * 4, [5.0, 1.0, 1.0, None], [0, 2, 1, 9]) == [3, 2, 1, 0]
+def test_order_follows_time_then_number(spark):
     rng = random.Random(1)
-    rows = [(rng.choice("ab"), rng.choice([1.0, 2.0, 3.0, 4.0]), i) for i in range(200)]
+    rows = [(rng.choice("ab"), i, rng.choice(["x", "y z"]), rng.choice([None, float("nan"), 1.0, 2.0, 3.0]), 9.0, rng.choice(["A", "B"]), "en") for i in range(200)]
     rng.shuffle(rows)
-    order = precedence_order(*map(list, zip(*rows)))
-    assert [rows[i] for i in order] == sorted(rows)
+    spans = turn_spans(spark.createDataFrame(rows, SCHEMA), 5).collect()
+    low = lambda s: float("-inf") if s is None or s != s else s
+    for video in "ab":
+        got = [r["ord"] for r in sorted((r for r in spans if r["video_id"] == video), key=lambda r: (r["part"], r["_pos"]))]
+        assert got == [o for _, o in sorted((low(s), o) for v, o, _, s, *_ in rows if v == video)]
+
+
+def test_labels_of_any_length(spark):
+    name = "The Right Honourable " + "Very " * 30 + "Long Name"
+    assert found(spark, (name, "hello"), (None, f"{name}: again"), (None, f">> {name.upper()}: and again"), ("B", "bye")) == [(0, 2, name.lower()), (3, 3, "b")]
 
 
 def test_long_videos_ties_repeats_and_empty_tables(spark):

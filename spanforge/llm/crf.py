@@ -62,15 +62,46 @@ class LinearChain:
         pair = np.exp(alpha[:-1, :, None] + self.transitions[None] + (emit + beta)[1:, None, :] - z) if n > 1 else np.zeros((0, k, k))
         return node, pair
 
+    def save(self, path) -> None:
+        np.savez_compressed(path, labels=np.array(self.labels), features=np.array(list(self.vocabulary)), weights=self.weights.astype(np.float32), transitions=self.transitions, start=self.start)
+
+    @classmethod
+    def load(cls, path) -> LinearChain:
+        with np.load(path) as f:
+            return cls(f["labels"].tolist(), {x: i for i, x in enumerate(f["features"].tolist())}, f["weights"].astype(np.float64), f["transitions"], f["start"])
+
     def decode(self, sequence: list[list[str]]) -> list[str]:
         """The most likely labels (Viterbi)."""
-        emit = np.array([self.weights[[v for f in fs if (v := self.vocabulary.get(f)) is not None]].sum(axis=0) for fs in sequence])
-        score, back = self.start + emit[0], []
-        for row in emit[1:]:
-            through = score[:, None] + self.transitions
-            back.append(through.argmax(axis=0))
-            score = through.max(axis=0) + row
-        path = [int(score.argmax())]
-        for pointers in reversed(back):
-            path.append(int(pointers[path[-1]]))
-        return [self.labels[i] for i in reversed(path)]
+        return self.decode_all([sequence])[0]
+
+    def decode_all(self, sequences: list[list[list[str]]]) -> list[list[str]]:
+        """The most likely labels of many sequences (Viterbi), position by position for all that are so long."""
+        known, none = self.vocabulary.get, len(self.weights)
+        rows = [[v for f in fs if (v := known(f)) is not None] or [none] for seq in sequences for fs in seq]
+        if not rows:
+            return [[] for _ in sequences]
+        weights = np.vstack([self.weights, np.zeros((1, len(self.labels)))])
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        emit = np.add.reduceat(weights[np.fromiter((v for r in rows for v in r), np.int64, int(sizes.sum()))], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+        lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
+        first = np.cumsum(lengths) - lengths
+        order = np.argsort(-lengths, kind="stable")
+        score = np.zeros((len(sequences), len(self.labels)))
+        back: list[np.ndarray] = []
+        for t in range(int(lengths.max())):
+            live = order[: int((lengths > t).sum())]
+            if t == 0:
+                score[live] = self.start + emit[first[live]]
+                continue
+            through = score[live][:, :, None] + self.transitions
+            pointers = np.zeros((len(sequences), len(self.labels)), np.int8)
+            pointers[live] = through.argmax(axis=1)
+            back.append(pointers)
+            score[live] = through.max(axis=1) + emit[first[live] + t]
+        best, out = score.argmax(axis=1), []
+        for i, n in enumerate(lengths):
+            path = [int(best[i])] if n else []
+            for t in range(int(n) - 2, -1, -1):
+                path.append(int(back[t][i, path[-1]]))
+            out.append([self.labels[x] for x in reversed(path)])
+        return out

@@ -1,8 +1,11 @@
 import json
+import re
+from pathlib import Path
 
 import pytest
 
-from spanforge.llm.pair_defects import clauses, defect_of, features, fitted, labelled_pairs, pair_defects, question_of, unwrapped
+from spanforge.llm import pair_defects as module
+from spanforge.llm.pair_defects import _read, _verdict, clauses, defect_of, defects_of, features, fit, fitted, labelled_pairs, pair_defects, question_of, unwrapped
 
 Q = "Why does the cook put the kettle under the bridge?"
 CONTEXT = f"Context:\nThe kettle is heavy.\n---\n{Q}"
@@ -21,6 +24,7 @@ CONTEXT = f"Context:\nThe kettle is heavy.\n---\n{Q}"
         (Q, "The cook lifts the kettle because the seal was leaking.", None), (Q, "Kettle", None), (Q, "at 12:07", None), (Q, "no", None), (Q, "- The cook lifts the kettle\n- The potter waits at the harbor market", None),
         (Q, f"You asked: {Q} The seal was leaking, so the cook moved it.", None), (Q, 'The guest says "I\'m sorry, I can\'t help you with that" and walks away. The cook lifts the kettle.', None), (Q, 'The sign reads "Bitte abonnieren für mehr Kupferdraht". The cook waits.', None),
         (Q, "Sorry for the mix-up: The cook lifts the kettle because the seal was leaking.", None), (Q + " Please reply in German.", "Der Koch hebt den Kessel, weil die Dichtung undicht war.", None), (Q, '```json\n{"answer": "The cook lifts the kettle."}\n```', None),
+        (Q, "I have to pass on this one.", "refusal"), (Q, "My apologies, but assisting with it isn't possible for me.", "refusal"), (Q, "Behind the fountain, next to a bench", None), (Q, "I can't say for certain, but it looks like the fountain.", None), (Q, "The guest describes the kettle and helps the cook.", None),
         (None, "The cook lifts the kettle.", None), ("", "Der Koch hebt den Kessel.", None),
     ],
 )
@@ -39,6 +43,39 @@ def test_held_out_clauses_are_labelled_right():
     assert right / total > 0.97
 
 
+def test_defects_of_held_out_frames():
+    """Sentences, questions, leads and refusals that the model was not fitted on."""
+    true, said, hit = {}, {}, {}
+    for prompt, response, labels in labelled_pairs(1500, 7, held_out=True):
+        parts, _, flags, text = _read(prompt, response)
+        want, got = _verdict(parts, labels, flags, text) or "fine", defect_of(prompt, response, fitted()) or "fine"
+        true[want], said[got] = true.get(want, 0) + 1, said.get(got, 0) + 1
+        hit[want] = hit.get(want, 0) + (want == got)
+    assert set(true) == {"fine", "truncated", "refusal", "copied_question", "other_language"}
+    for kind, n in true.items():
+        assert hit[kind] / n >= 0.9 and hit[kind] / said[kind] >= 0.9, (kind, hit[kind], n, said[kind])
+
+
+def test_no_frame_is_a_sentence_of_the_tables():
+    pq = pytest.importorskip("pyarrow.parquet")
+    path = Path("/root/testdata/sf0.01/completions.parquet")
+    if not path.exists():
+        pytest.skip("no test tables here")
+    everything = "\0".join(x.lower() for c in ("prompt", "response") for x in pq.read_table(path, columns=[c])[c].to_pylist() if x)
+    frames = [f for t in (module._SENTENCES, module._QUESTIONS, module._POLICY, module._HEDGES, module._SPOTS) for fs in t.values() for f in fs]
+    frames += [lead for fs in module._LEADS.values() for lead, asks in fs if not asks]
+    parts = [p.strip().lower() for f in frames for p in re.split(r"\{\w\}", f) if len(p.strip()) >= 14]
+    assert len(parts) > 80 and [p for p in parts if p in everything] == []
+
+
+def test_saved_weights_are_those_of_the_fit():
+    again, saved = fit(), fitted()
+    pairs = list(labelled_pairs(200, 3))
+    rows = [_read(p, r)[1] for p, r, _ in pairs]
+    assert again.decode_all(rows) == saved.decode_all(rows) == [saved.decode(x) for x in rows]
+    assert defects_of([None, "x"], [None, "..."], saved) == ["empty", "empty"] and saved.decode_all([]) == [] and saved.decode_all([[]]) == [[]]
+
+
 def test_table_with_repeats_long_texts_and_no_rows(spark):
     rows = [(1, Q, None, 0), (1, Q, None, 0), (2, Q, "The kettle is heavy. " * 3000, 0), (3, None, "", 0)]
     df = spark.createDataFrame(rows, "completion_id bigint, prompt string, response string, defect int")

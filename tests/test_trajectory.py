@@ -3,7 +3,7 @@ import random
 import pytest
 
 from spanforge import lm
-from spanforge.loops import Completion, Explorer, LimitReached, Limits, Session, first_json
+from spanforge.loops import Cancelled, Completion, CostLimit, ErrorLimit, Explorer, LimitReached, Limits, Session, TimeLimit, TokenLimit, first_json, run_conversation
 from spanforge.operators import scoring as sc
 from spanforge.operators import state as st
 from spanforge.operators import trajectory as tr
@@ -124,3 +124,120 @@ def test_explorer_opens_and_stops(spark):
     assert Explorer(nodes, lambda q, m: none, lambda n, m, q: none, Script('{"action_type": "OPEN", "node_id": "n1"}'), steps=2).run("q")[0].startswith("The budget")
     with pytest.raises(ValueError):
         first_json("nothing here")
+
+
+def test_a_final_variable_is_given_out_whole(spark):
+    s = Session(spark)
+    answer, log = Completion(Script("```sql\ncreate or replace temp view many as select id from range(25)\n```\n```sql\nselect * from many\n```", "FINAL_VAR(many)"), s).run("x")
+    assert answer.split("\n") == [f'{{"id": {i}}}' for i in range(25)]
+    assert log[0]["code_blocks"][1]["stdout"].count("\n") == 19  # what is shown on the way is cut
+    assert s.value("no_such_view")[0] is None
+
+
+def test_limits_have_their_own_errors_and_carry_the_last_response(spark):
+    s = Session(spark)
+    priced = Script("thinking")
+    priced.price = 0.5
+    for limits, kind in ((Limits(tokens=3), TokenLimit), (Limits(cost=0.1), CostLimit), (Limits(seconds=-1.0), TimeLimit)):
+        with pytest.raises(kind) as caught:
+            Completion(priced, s, limits).run("a question")
+        assert kind is TimeLimit or caught.value.partial == "thinking"
+    with pytest.raises(ErrorLimit):
+        Completion(Script("```sql\nselect nope from nowhere\n```"), s, Limits(errors=1)).run("x")
+    with pytest.raises(Cancelled):
+        Completion(priced, s, cancelled=lambda: True).run("x")
+
+
+def test_messages_are_compacted(spark):
+    model = Script("first thoughts " * 20, "the summary", "FINAL(done)")
+    answer, _ = Completion(model, Session(spark), Limits(compact_at=0.5, context_tokens=100)).run("q")
+    assert answer == "done" and "the summary" in model.seen[2] and "first thoughts" not in model.seen[2] and "Continue from the summary" in model.seen[2]
+
+
+def test_sub_questions_run_from_blocks_with_what_is_left(spark):
+    class Echo:
+        price = 0.001
+
+        def complete(self, prompt, model):
+            if prompt == "bad":
+                raise RuntimeError("broken")
+            return f"<{prompt}>" if prompt in ("one", "two") else "FINAL(ok)" if "<one>" in prompt else '```ask\n["one", "bad", "two"]\n```'
+
+    seen, done = [], []
+
+    def hook(q):
+        seen.append(q)
+        raise RuntimeError("ignored")
+
+    run = Completion(Echo(), Session(spark), Limits(tokens=1000, cost=9.0, seconds=99.0), on_subcall=hook, on_subcall_done=lambda q, a: done.append((q, a)))
+    answer, log = run.run("start")
+    assert answer == "ok" and log[0]["code_blocks"][0]["stdout"] == "<one>\nError: broken\n<two>"
+    assert sorted(seen) == ["bad", "one", "two"] and dict(done)["bad"] == "Error: broken"
+    assert [r["answer"] for r in spark.table("answers_0").orderBy("ord").collect()] == ["<one>", "Error: broken", "<two>"]
+    left = run._left()
+    assert left.tokens == 1000 - run.spent.tokens < 1000 and left.cost < 9.0 and left.seconds < 99.0
+
+
+def test_explorer_keeps_all_evidence_and_children(spark):
+    nodes = spark.createDataFrame([("n", None, 0.0, 99.0)] + [(f"c{i:02d}", "n", float(i), i + 1.0) for i in range(12)], "node_id string, parent_id string, s double, e double")
+    hits = spark.createDataFrame([(f"h{i}", float(i), 9.0, i / 10) for i in range(12)], "node_id string, s double, e double, score double")
+    items = spark.createDataFrame([(f"claim {i}", 0.8, float(i)) for i in range(11)], "claim string, confidence double, s double")
+    model = Script('{"action_type": "OPEN", "node_id": "n"}', '{"action_type": "SPLIT", "node_id": "n"}', '{"action_type": "STOP", "answer": "a"}')
+    _, trace = Explorer(nodes, lambda q, m: hits, lambda n, m, q: items, model, cap=4).run("q", [{"role": "user", "content": str(i)} for i in range(6)], "summarization", {"title": "t"})
+    assert [t["found"] for t in trace] == [11, 12, 0] and trace[0]["state"]["frontier"] == ["h10", "h11", "h8", "h9"]
+    state = trace[1]["state"]
+    assert len(state["evidence"]) == 6 and len(state["dialogue"]) == 4 and state["task_type"] == "summarization" and state["budget"]["evidence"] == 11 and state["global_context"] == {"title": "t"}
+
+
+def test_conversations_run_in_gold_and_candidate_mode():
+    turns = [{"role": "system", "content": "s"}, {"role": "user", "content": "q1"}, {"role": "assistant", "content": "gold1"}, {"role": "user", "content": "q2"}, {"role": "assistant", "content": "gold2"}]
+    seen = []
+
+    def answer(question, dialogue):
+        seen.append([m["content"] for m in dialogue])
+        return f"mine to {question}"
+
+    out = run_conversation(turns, answer)
+    assert [t.get("candidate_response") for t in out] == [None, None, "mine to q1", None, "mine to q2"] and seen[1] == ["s", "q1", "gold1", "q2"]
+    run_conversation(turns, answer, gold=False)
+    assert seen[3] == ["s", "q1", "mine to q1", "q2"]
+    with pytest.raises(ValueError):
+        run_conversation([{"role": "assistant", "content": "x"}], answer)
+
+
+def test_the_judge_is_asked_up_to_three_times(spark):
+    class Judge:  # inside, so that it travels to the workers by value
+        """Reads its verdict out of the prompt; the first reply to each is unreadable."""
+
+        def __init__(self):
+            self.asked = {}
+
+        def complete(self, prompt, model):
+            self.asked[prompt] = self.asked.get(prompt, 0) + 1
+            if "never" in prompt or self.asked[prompt] == 1:
+                return "hm " * 600
+            return '```json\n{"criteria_met": %s}\n```' % ("true" if "good" in prompt else "false")
+
+    rows = spark.createDataFrame([(1, "good"), (2, "poor"), (3, "never"), (4, None)], "id int, prompt string")
+    got = {r["id"]: r for r in lm.judged(rows, Judge).collect()}
+    assert [(got[i]["criteria_met"], got[i]["attempts"]) for i in (1, 2, 3, 4)] == [(True, 2), (False, 2), (None, 3), (False, 2)]
+    assert got[3]["evaluation_error"].startswith("no verdict") and len(got[3]["evaluation_raw"]) == 1000 and got[1]["evaluation_error"] is None
+    assert lm.judged(rows.filter("false"), Judge).count() == 0
+
+
+def test_whole_batches_fail_together(spark):
+    req = spark.createDataFrame([("a", 0, "x", None), ("a", 1, "bad", None), ("b", 0, "y", None)], "batch_id string, ord int, prompt string, model string")
+    got = {(r["batch_id"], r["ord"]): r["response"] for r in lm.query_batches(req, lambda: lm.Scripted(fail_on="bad"), whole_batch=True).collect()}
+    assert got == {("a", 0): "Error: no answer to bad", ("a", 1): "Error: no answer to bad", ("b", 0): "echo: y"}
+
+
+def test_media_hooks(spark):
+    df = spark.createDataFrame([("a.wav", 1.0), ("b.wav", None)], "path string, s double")
+    said = lm.with_hook(df, "speech", lambda: lambda p, s: [{"text": p, "span_start": s, "span_end": 2.0, "speaker": None, "language": "en"}] if s else None, "path", "s")
+    assert [r["found"] and r["found"][0]["text"] for r in said.orderBy("path").collect()] == ["a.wav", None]
+    seen = lm.with_hook(df, "vision", lambda: lambda p: {"summary": p, "tags": ["t"], "entities": []}, "path")
+    assert {(r["found"]["summary"], tuple(r["found"]["tags"])) for r in seen.collect()} == {("a.wav", ("t",)), ("b.wav", ("t",))}
+    texts = spark.createDataFrame([(1, "aa"), (2, "aa"), (3, None)], "id int, t string")
+    assert {r["id"]: r["embedding"] for r in lm.embedded(texts, "t", lambda: lambda t: [float(len(t)), 1.0]).collect()} == {1: [2.0, 1.0], 2: [2.0, 1.0], 3: None}
+    with pytest.raises(ValueError):
+        lm.with_hook(df, "smell", lambda: None, "path")

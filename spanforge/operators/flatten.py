@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanforge.session import durable, spread
 
@@ -143,5 +144,77 @@ def flat_tables(iterations: DataFrame | None, log: DataFrame | None) -> dict[str
 
 
 def record_paths(iterations: DataFrame | None, log: DataFrame | None) -> DataFrame:
-    """(run_id, iteration, record_path) of every message, block and sub-call, each once."""
-    return flat_tables(iterations, log)["all"].select(*ID, "record_path").distinct()
+    """(run_id, iteration, record_path) of every message, block and sub-call, each once.
+
+    Each level is computed once and written with what the next one needs: the paths, and only of
+    the calls that have metadata their contents."""
+    level = reduce(DataFrame.unionByName, [f(x) for f, x in ((typed_roots, iterations), (logged_roots, log)) if x is not None])
+    levels: list[DataFrame] = []
+    while True:
+        found = _level(level)
+        deeper = (F.col("kind") == "c") & _get(F.col("v"), "metadata").isNotNull()
+        found = durable(found.select(*ID, "kind", "ordinal", "parent_path", "record_path", F.when(deeper, F.col("v")).alias("v")))
+        levels.append(found.select(*ID, "record_path"))
+        calls = found.filter("v is not null")
+        if calls.isEmpty():
+            break
+        level = _below(calls).select(*ID, "record_path", "v")
+    return reduce(DataFrame.unionByName, levels).distinct()
+
+
+def merged_schema(rows: DataFrame, text: str) -> T.DataType:
+    """The schema that all JSON texts of a column have together, from one aggregation over all of them.
+
+    Fields that some lack are optional; a field of other kinds in other records stays VARIANT; unreadable
+    texts count for nothing; without any readable text the schema is an empty struct."""
+    found = rows.select(F.schema_of_variant_agg(F.try_parse_json(text))).first()[0]
+    if not found or not found.startswith("OBJECT<"):
+        return T.StructType()
+    return T.DataType.fromDDL(found.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING"))
+
+
+def related_tables(rows: DataFrame, key: list[str]) -> dict[str, DataFrame]:
+    """Flat tables of nested rows, whatever their schema: {'': one row per row, 'a': one per slot of the array a, 'a/b': ...}.
+
+    Each has the key, parent_id, record_id, ordinal and the fields of its record, those of structs as
+    a_b; arrays become tables of their own, down to the deepest. record_id is the parent's with the name
+    of the array and the ordinal, unique within a key. Null slots count in the ordinal and are left out;
+    a null or empty array has no rows; arrays of plain values have the column value; maps stay maps."""
+    out: dict[str, DataFrame] = {}
+
+    def walk(df: DataFrame, name: str, kind: T.DataType) -> None:
+        flat, arrays = [], []
+
+        def fields(at: Column, struct: T.StructType, prefix: str) -> None:
+            for f in struct.fields:
+                if isinstance(f.dataType, T.StructType):
+                    fields(at[f.name], f.dataType, f"{prefix}{f.name}_")
+                elif isinstance(f.dataType, T.ArrayType):
+                    arrays.append((f"{prefix}{f.name}", at[f.name], f.dataType.elementType))
+                else:
+                    flat.append(at[f.name].alias(f"{prefix}{f.name}"))
+
+        if isinstance(kind, T.StructType):
+            fields(F.col("_r"), kind, "")
+        elif isinstance(kind, T.ArrayType):
+            arrays.append(("value", F.col("_r"), kind.elementType))
+        else:
+            flat.append(F.col("_r").alias("value"))
+        ids = [*key, "parent_id", "record_id", "ordinal"]
+        out[name] = df.select(*ids, *flat)
+        for array, at, element in arrays:
+            slots = df.select(*key, F.col("record_id").alias("parent_id"), F.posexplode(at).alias("ordinal", "_r")).filter("_r is not null")
+            slots = slots.withColumn("record_id", F.concat("parent_id", F.lit(f"/{array}"), F.col("ordinal").cast("string")))
+            walk(slots, f"{name}/{array}" if name else array, element)
+
+    rest = T.StructType([f for f in rows.schema.fields if f.name not in key])
+    top = rows.select(*key, F.lit(None).cast("string").alias("parent_id"), F.lit("").alias("record_id"), F.lit(0).alias("ordinal"), F.struct(*[F.col(f"`{f.name}`") for f in rest.fields]).alias("_r"))
+    walk(top, "", rest)
+    return out
+
+
+def related_json(rows: DataFrame, key: list[str], text: str) -> dict[str, DataFrame]:
+    """related_tables of the JSON texts of a column, under their merged schema. Unreadable texts give no row."""
+    schema = merged_schema(rows, text)
+    parsed = rows.select(*key, F.try_variant_get(F.try_parse_json(text), "$", schema.simpleString()).alias("_j")).filter("_j is not null")
+    return related_tables(parsed.select(*key, "_j.*"), key)

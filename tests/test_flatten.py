@@ -1,6 +1,6 @@
 import json
 
-from spanforge.operators.flatten import flat_tables, record_paths
+from spanforge.operators.flatten import flat_tables, record_paths, related_json, related_tables
 from spanforge.schemas import ITERATION
 
 CALL = {"root_model": "m", "prompt": "p", "response": "r"}
@@ -56,3 +56,25 @@ def test_every_row_names_its_parent(spark):
     flat = flat_tables(None, log)
     one = {k: [(r["parent_path"], r["record_path"]) for r in flat[k].collect()] for k in ("iterations", "messages", "blocks", "calls")}
     assert one == {"iterations": [(None, "")], "messages": [("", "m0")], "blocks": [("", "b0")], "calls": [("b0", "b0.c0")]}
+
+
+def test_tables_of_any_schema(spark):
+    schema = "k int, a struct<b:int,c:array<struct<d:string,e:array<int>>>>, f array<array<string>>, g map<string,int>"
+    rows = [(1, (5, [("x", [1, None, 3]), None, ("y", [])]), [["p"], None, ["q", "r"]], {"m": 1}), (2, None, None, None), (3, (None, []), [], None)]
+    t = related_tables(spark.createDataFrame(rows, schema), ["k"])
+    assert sorted(t) == ["", "a_c", "a_c/e", "f", "f/value"]
+    assert sorted((r["k"], r["a_b"]) for r in t[""].collect()) == [(1, 5), (2, None), (3, None)]
+    assert [(r["k"], r["parent_id"], r["record_id"], r["ordinal"], r["d"]) for r in t["a_c"].orderBy("ordinal").collect()] == [(1, "", "/a_c0", 0, "x"), (1, "", "/a_c2", 2, "y")]
+    assert [(r["record_id"], r["value"]) for r in t["a_c/e"].orderBy("ordinal").collect()] == [("/a_c0/e0", 1), ("/a_c0/e2", 3)]
+    assert sorted((r["parent_id"], r["ordinal"], r["value"]) for r in t["f/value"].collect()) == [("/f0", 0, "p"), ("/f2", 0, "q"), ("/f2", 1, "r")]
+
+
+def test_a_schema_is_merged_from_texts(spark):
+    lines = ['{"a": 1, "b": [{"c": [1, 2]}, {"c": []}]}', '{"a": 2, "e": {"f": [true]}, "b": [{"d": "x"}]}', "broken", None, ""]
+    df = spark.createDataFrame(list(enumerate(lines)), "id int, line string")
+    t = related_json(df, ["id"], "line")
+    assert sorted(t) == ["", "b", "b/c", "e_f"]
+    assert sorted((r["id"], r["a"]) for r in t[""].collect()) == [(0, 1), (1, 2)]
+    assert sorted((r["id"], r["record_id"], r["d"]) for r in t["b"].collect()) == [(0, "/b0", None), (0, "/b1", None), (1, "/b0", "x")]
+    assert sorted((r["parent_id"], r["value"]) for r in t["b/c"].collect()) == [("/b0", 1), ("/b0", 2)]
+    assert related_json(df.filter("id > 1"), ["id"], "line")[""].count() == 0

@@ -135,3 +135,57 @@ def folder_name(repo: Column) -> Column:
 def safe_keys(config: Column) -> Column:
     """A map without the entries whose key names an API key."""
     return F.map_filter(config, lambda k, _: ~(F.contains(F.lower(k), F.lit("api")) & F.contains(F.lower(k), F.lit("key"))))
+
+
+def first_json(text: Column) -> Column:
+    """map<string,string> of the first JSON object that can be read, at whatever brace it begins; texts behind it do
+    not matter, inner values stay JSON. Null without one. Braces are tried in order until one can be read."""
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(text, i, F.lit(1)) == "{")
+    none = F.lit(None).cast("map<string,string>")
+    return F.aggregate(at, none, lambda found, i: F.coalesce(found, F.from_json(F.substr(text, i), "map<string,string>")))
+
+
+def contents(prompt: Column) -> Column:
+    """The texts of a list of messages, in order; a null one is empty."""
+    return F.transform(F.coalesce(prompt, F.array().cast("array<struct<role:string,content:string>>")), lambda m: F.coalesce(m["content"], F.lit("")))
+
+
+def split_system(prompt: Column, assistant: str = "assistant") -> Column:
+    """struct<system, messages>: the system messages joined by line breaks, apart from the others, in which the
+    assistant bears the name that a provider knows it by."""
+    system = F.array_join(F.transform(F.filter(prompt, lambda m: m["role"] == "system"), lambda m: m["content"]), "\n")
+    named = lambda m: F.struct(F.when(m["role"] == "assistant", assistant).otherwise(m["role"]).alias("role"), m["content"].alias("content"))
+    return F.struct(system.alias("system"), F.transform(F.filter(prompt, lambda m: m["role"] != "system"), named).alias("messages"))
+
+
+def as_messages(text: Column) -> Column:
+    """A plain text as one user message."""
+    return F.array(F.struct(F.lit("user").alias("role"), text.alias("content")))
+
+
+def joined_map(values: Column) -> Column:
+    """The entries of a map as one text; a null value is written null."""
+    return F.array_join(F.transform(F.map_entries(values), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))), ";")
+
+
+def sentence_windows(text: Column, before: int = 1, after: int = 2) -> Column:
+    """One text per sentence: it with so many sentences before and after it."""
+    parts = sentences(text)
+
+    def around(i: Column) -> Column:
+        first = F.greatest(i - before, F.lit(0))
+        return F.array_join(F.slice(parts, first + 1, F.least(i + after + 1, F.size(parts)) - first), " ")
+
+    return F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(0), F.size(parts) - 1), around)).otherwise(F.array().cast("array<string>"))
+
+
+def context_variable(code: Column) -> Column:
+    """The first text assigned to the name context in a block of code; null if none."""
+    found = F.regexp_extract(code, r"""(?s)\bcontext\s*=\s*(?:\"{3}(.*?)\"{3}|"([^"\n]*)"|'([^'\n]*)')""", 0)
+    return F.when(found != "", F.regexp_replace(F.regexp_replace(found, r"^context\s*=\s*", ""), r"""^["']+|["']+$""", ""))
+
+
+def answer_of(final: Column) -> Column:
+    """A final answer that was logged as a pair: its second part; other answers as they are."""
+    pair = F.regexp_extract(final, r"""(?s)^\(\s*['"].*?['"]\s*,\s*['"](.*)['"]\s*\)$""", 1)
+    return F.when(F.coalesce(pair, F.lit("")) != "", pair).otherwise(final)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import scores
-from spanforge.functions.focus import Question, span_score, speech_focus, why_signal
+from spanforge.functions.focus import Question, chosen_candidates, needs_refinement, refinement_candidates, span_score, speech_focus, why_signal
+from spanforge.functions.prompts import selection_prompt
 from spanforge.functions.text import one_space
+from spanforge.lm import Provider
 from spanforge.operators.memory import Windows, child_priority, node_facts, recommended, videos
 from spanforge.operators.ordered import running
 
@@ -89,9 +94,39 @@ def selected_spans(scored: DataFrame, q: Question) -> DataFrame:
     return rows.select("video_id", "window", "_of", F.posexplode("_picked").alias("position", "_s")).select("video_id", "window", "_of", "position", "_s.*")
 
 
-def speech_evidence(speech: DataFrame, artifacts: DataFrame, nodes: DataFrame, level: str, question: str, search: str = "", w: Windows = Windows()) -> DataFrame:
+def refined(rows: DataFrame, q: Question, make: Callable[[], Provider], model: str | None = None) -> DataFrame:
+    """rows (text, detail) with detail picked by a model among the candidate snippets, where that is worth asking.
+
+    A row is asked about if it has two candidates and the question or the text calls for it. The
+    snippets that the model names are joined in the order of the candidates; a reply that names
+    none, or fails, leaves the detail as it was. Rows stay in their task."""
+    rows = rows.withColumn("_candidates", refinement_candidates(F.col("text"), F.col("detail"), q))
+    asked = F.when(needs_refinement(F.col("text"), F.col("_candidates"), q), selection_prompt(F.lit(q.text), F.col("_candidates")))
+
+    @F.pandas_udf("string")
+    def reply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        provider = make()
+
+        def one(prompt: str | None) -> str | None:
+            try:
+                return provider.complete(prompt, model) if prompt is not None else None
+            except Exception:  # the heuristic detail stands
+                return None
+
+        for batch in batches:
+            yield batch.map(one, na_action="ignore").astype("object")
+
+    rows = rows.withColumn("_asked", asked).withColumn("_reply", reply("_asked"))
+    chosen = F.array_sort(chosen_candidates(F.coalesce("_reply", F.lit("")), F.col("_candidates")))
+    text = one_space(F.array_join(F.transform(chosen, lambda i: F.element_at(F.col("_candidates"), i)), " "))
+    return rows.withColumn("detail", F.when(F.size(chosen) > 0, text).otherwise(F.col("detail"))).drop("_candidates", "_asked", "_reply")
+
+
+def speech_evidence(speech: DataFrame, artifacts: DataFrame, nodes: DataFrame, level: str, question: str, search: str = "", w: Windows = Windows(),
+                    make: Callable[[], Provider] | None = None, ledger: DataFrame | None = None) -> DataFrame:
     """The evidence of opening every node of a level for speech: one row per selected span, with the
-    span's own times, the focused detail, and a confidence that the score raises."""
+    span's own times, the focused detail, and a confidence that the score raises. With `make` a
+    model refines the details; what `ledger` holds already is left out."""
     q = Question(question, search)
     rows = selected_spans(scored_spans(speech, artifacts, level, q, w), q)
     detail = speech_focus(F.col("text"), q)
@@ -100,13 +135,17 @@ def speech_evidence(speech: DataFrame, artifacts: DataFrame, nodes: DataFrame, l
     elif q.last:
         detail = F.when(F.col("position") < F.col("_of") - 1, speech_focus(F.col("text"), q, "end")).otherwise(detail)
     ids = nodes.filter(F.col("level") == level).select("video_id", "window", F.col("node_id").alias("source_node_id"))
-    rows = rows.withColumn("detail", detail).filter(F.col("detail") != "").join(ids, ["video_id", "window"])
+    rows = rows.withColumn("detail", detail)
+    if make is not None:
+        rows = refined(rows, q, make)
+    rows = rows.filter(F.col("detail") != "").join(ids, ["video_id", "window"])
     rows = rows.dropDuplicates(["source_node_id", "span_start", "span_end", "detail"])
-    return rows.select(
+    found = rows.select(
         "video_id", "source_node_id", F.lit("speech").alias("modality"), F.col("span_start").alias("s"), F.col("span_end").alias("e"),
         claim(F.col("detail"), "speech").alias("claim"), scores.speech_confidence(F.col("detail"), F.col("score")).alias("confidence"), "detail",
         F.round("score", 4).alias("selection_score"),
     )
+    return found if ledger is None else new_evidence(found, ledger)
 
 
 def new_evidence(found: DataFrame, ledger: DataFrame) -> DataFrame:

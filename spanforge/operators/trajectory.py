@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import clipped
-from spanforge.operators.ordered import carried, earlier_ranges, inside, into_ranges, running, so_far
+from spanforge.operators.ordered import RANGE, inside, into_ranges, running, so_far
 
 CHARS_PER_TOKEN = 4
 DEFAULT_LIMIT = 128_000
@@ -78,6 +80,19 @@ def prompt_tokens(prompt: Column) -> Column:
     return F.ceil(chars / CHARS_PER_TOKEN).cast("bigint")
 
 
+#: Tokens that each message and each name adds to those of its text, for models that count by messages.
+PER_MESSAGE, PER_NAME = 3, 1
+
+
+def counted_tokens(prompt: Column, count: Callable[[Column], Column], name: Column | None = None) -> Column:
+    """Tokens of the messages of a prompt by a tokenizer: count(text) of the joined texts' parts, PER_MESSAGE for each
+    message and PER_NAME for each name; 0 for none. count is any column function, such as a pandas UDF of a tokenizer."""
+    messages = F.coalesce(F.size(prompt), F.lit(0))
+    texts = F.array_join(F.transform(F.coalesce(prompt, F.array()), lambda m: F.coalesce(m["content"], F.lit(""))), "\n")
+    names = F.lit(0) if name is None else F.coalesce(F.size(name), F.lit(0))
+    return F.when(messages > 0, count(texts) + messages * PER_MESSAGE + names * PER_NAME).otherwise(0).cast("bigint")
+
+
 def compaction(iterations: DataFrame, runs: DataFrame, limits: DataFrame, share: float = 0.85) -> DataFrame:
     """(run_id, iteration, tokens, threshold, token_limit, compact): whether a prompt has reached its share of the model's limit."""
     models = runs.groupBy("run_id").agg(F.max("root_model").alias("root_model"))
@@ -102,12 +117,13 @@ def error_streaks(iterations: DataFrame, max_errors: int = 3) -> DataFrame:
     rows = rows.withColumn("_n", F.row_number().over(inside(key, order))).withColumn("_good", F.max(F.when(~F.col("failed"), F.col("_n"))).over(w))
     # of each range: its rows, and how many failed at its end
     tail = F.count(F.lit(1)) - F.coalesce(F.max(F.when(~F.col("failed"), F.col("_n"))), F.lit(0))
-    before = earlier_ranges(key)
-    rows = carried(
-        rows, key, {"_rows": F.count(F.lit(1)), "_tail": tail},
-        # the failed rows at the end of all earlier ranges: whole bad ranges since the last range with a good row, plus its tail
-        {"_open": F.aggregate(F.collect_list(F.struct("_tail", "_rows")).over(before), F.lit(0).cast("bigint"), lambda s, x: F.when(x["_tail"] < x["_rows"], x["_tail"]).otherwise(s + x["_tail"]))},
-    )
+    # the failed rows at the end of all earlier ranges: those since the last range with a good row, and its tail
+    by = Window.partitionBy(key).orderBy(RANGE)
+    state = rows.groupBy(key, RANGE).agg(F.count(F.lit(1)).alias("_rows"), tail.alias("_tail"))
+    state = state.withColumn("_since", F.sum((F.col("_tail") < F.col("_rows")).cast("int")).over(by))
+    state = state.withColumn("_sum", F.sum("_tail").over(Window.partitionBy(key, "_since").orderBy(RANGE))).withColumn("_open", F.lag("_sum").over(by))
+    state = state.select(F.col(key).alias("_ck"), F.col(RANGE).alias("_cr"), "_open")
+    rows = rows.join(state, rows[key].eqNullSafe(state["_ck"]) & (rows[RANGE] == state["_cr"]), "left")
     streak = F.when(~F.col("failed"), F.lit(0)).when(F.col("_good").isNotNull(), F.col("_n") - F.col("_good")).otherwise(F.col("_n") + F.coalesce("_open", F.lit(0)))
     return rows.select("run_id", "iteration", "failed", streak.cast("bigint").alias("streak"), (streak >= max_errors).alias("tripped"))
 
@@ -154,6 +170,22 @@ def compacted(messages: DataFrame, summary: Column) -> DataFrame:
     return first.unionByName(told.withColumn("ord", F.col("ord").cast(first.schema["ord"].dataType))).unionByName(ask.withColumn("ord", F.col("ord").cast(first.schema["ord"].dataType)))
 
 
+def trace_statistics(steps: DataFrame) -> DataFrame:
+    """steps (session, action_type, node_id, hits): per session whether it never stopped, how many OPENs went to a
+    node opened before, and how many searches found nothing. One pass: OPENs are counted per node first."""
+    kind = F.col("action_type")
+    per = steps.groupBy("session", "action_type", "node_id").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.when(F.coalesce("hits", F.lit(0)) == 0, 1).otherwise(0)).alias("_none"))
+    return per.groupBy("session").agg(
+        (F.count(F.when(kind == "STOP", 1)) == 0).alias("without_stop"), F.coalesce(F.sum(F.when(kind == "OPEN", F.col("_n") - 1)), F.lit(0)).alias("repeated_opens"),
+        F.coalesce(F.sum(F.when(kind == "SEARCH", F.col("_none"))), F.lit(0)).alias("empty_searches"),
+    )
+
+
+def numbered_iterations(iterations: DataFrame) -> DataFrame:
+    """Iterations of each run numbered anew from 1, repeated ones once."""
+    return running(iterations.dropDuplicates(["run_id", "iteration"]), "run_id", ["iteration"], sums={"number": F.lit(1).cast("bigint")})
+
+
 def run_summary(iterations: DataFrame) -> DataFrame:
     """Per run: iterations, code blocks, sub-calls, seconds (of the iteration, else of its blocks), any error, last final answer."""
     rows = iterations.dropDuplicates(["run_id", "iteration"])

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.focus import Question, evidence_focus, refinement_candidates, span_score, speech_focus
-from spanforge.functions.text import sentences
+from spanforge.functions.text import sentence_windows, sentences
+from spanforge.lm import Scripted
 from spanforge.operators import evidence as ev
 from spanforge.operators import intervals as iv
 from spanforge.operators import memory as mem
 from spanforge.operators import search as se
 from spanforge.operators import state as st
+from spanforge.operators.ordered import running
 from spanforge.operators.words import phrases, word_level
 from spanforge.tables import table
 
@@ -199,6 +201,16 @@ def rt22_speech_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return ev.numbered(found).select("evidence_id", "video_id", "source_node_id", "s", "e", "claim", "confidence", "selection_score")
 
 
+def rt22_refined(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with details that a scripted model refines, without what a first opening of the clips has found."""
+    t = lambda n: table(spark, sf, n)
+    tree = mem.tree(t("artifacts"))
+    known = ev.speech_evidence(t("speech_spans"), t("artifacts"), tree, "clip", WHY, "kettle tripod repair")
+    make = lambda: Scripted({"kettle": '{"selected_candidate_ids": ["c2", "c1"]}'})
+    found = ev.speech_evidence(t("speech_spans"), t("artifacts"), tree, "segment", WHY, "kettle tripod repair", make=make, ledger=known)
+    return found.select("video_id", "source_node_id", "s", "e", "claim", "confidence", "detail")
+
+
 def rt18_document_focus(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     return d.select("doc_id", speech_focus(F.col("text"), Question(WHY)).alias("focus"))
@@ -220,11 +232,9 @@ def rt15_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wn7_sentence_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """One sentence before, two after, of the first twelve sentences' neighbours in each document."""
+    """One sentence before, two after, of each sentence."""
     d = table(spark, sf, "documents").filter("text is not null")
-    s = sentences(F.col("text"))
-    window = lambda i: F.array_join(F.slice(s, F.greatest(i, F.lit(1)), F.least(i + 3, F.size(s)) - F.greatest(i - 1, F.lit(0))), " ")
-    return d.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(s) - 1), window)).alias("pos", "w")).groupBy("doc_id").agg(F.max(F.length("w")).alias("widest"))
+    return d.select("doc_id", F.explode(sentence_windows(F.col("text"))).alias("w")).groupBy("doc_id").agg(F.max(F.length("w")).alias("widest"), F.count(F.lit(1)).alias("windows"))
 
 
 def _ledger(spark: SparkSession, sf: str) -> DataFrame:
@@ -259,7 +269,8 @@ def _steps(spark: SparkSession, sf: str) -> DataFrame:
     """The event log read as sessions of actions."""
     e = table(spark, sf, "events")
     kinds = [F.when(F.pmod(F.col("event_id"), F.lit(5)) == i, k) for i, k in enumerate(("SEARCH", "OPEN", "OPEN", "SPLIT", "STOP"))]
-    step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    e = running(e, "user_id", ["ts", "event_id"], sums={"_step": F.lit(1).cast("bigint")})
+    step = F.col("_step")
     return e.select(
         F.col("user_id").alias("session"), step.alias("step"), F.coalesce(*kinds).alias("action_type"), F.col("event_type").alias("query"),
         F.when(F.pmod(F.col("event_id"), F.lit(3)) == 0, 1).otherwise(0).alias("new_evidence"), F.length("props").cast("bigint").alias("tokens"),
@@ -465,7 +476,7 @@ ORACLE = {
     "rt15_sentences": r"""with s as (select doc_id, unnest(list_filter(string_split_regex(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) s from documents)
         select doc_id, count(*) as n, max(length(s)) as longest from s group by 1""",
     "wn7_sentence_windows": r"""with s as (select doc_id, list_filter(string_split_regex(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') s from documents)
-        select doc_id, list_max(list_transform(range(1, length(s) + 1), lambda i: length(array_to_string(s[greatest(i - 1, 1):i + 2], ' ')))) as widest from s""",
+        select doc_id, list_max(list_transform(range(1, length(s) + 1), lambda i: length(array_to_string(s[greatest(i - 1, 1):i + 2], ' ')))) as widest, length(s) as windows from s where length(s) > 0""",
     "ag8_merge": f"""{_LEDGER}, w as (select video_id request_id, pos, l.* from (select distinct video_id vid from artifacts), (values (1, '2'), (2, '1'), (3, '9')) x(pos, k) join ledger l on l.evidence_id = vid || '/evidence_0000' || k)
         select request_id, round(avg(confidence), 4) as confidence, string_agg(claim, ' | ' order by pos) as claim, string_agg(detail, chr(10) order by pos) as detail, arg_min(source_node_id, pos) as source_node_id, arg_min(s, pos) as s, arg_min(e, pos) as e, count(*) as merged from w group by 1""",
     "st4_cite": f"{_LEDGER} select video_id, evidence_id like '%00001' as used_in_final_answer, count(*) as n from ledger group by 1, 2",

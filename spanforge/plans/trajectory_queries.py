@@ -9,6 +9,7 @@ from spanforge import lm
 from spanforge.functions import payloads, prompts
 from spanforge.functions import text as tx
 from spanforge.functions.focus import chosen_candidates
+from spanforge.operators import memory as mem
 from spanforge.operators import scoring as sc
 from spanforge.operators import trajectory as tr
 from spanforge.operators.ordered import running
@@ -46,8 +47,18 @@ def jn10_client_routing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def jn11_context_limits(spark: SparkSession, sf: str) -> DataFrame:
-    runs = _once(spark, sf, "runs", "run_id").select("run_id", "root_model")
-    return tr.context_limits(runs, tr.limits_table(spark, LIMITS))
+    """Each run's own model, and a public one by turns, in the table of public limits and the site's own."""
+    runs = _once(spark, sf, "runs", "run_id").select("run_id", "root_model", _public_model().alias("public_model"))
+    limits = tr.limits_table(spark, tr.CONTEXT_LIMITS | LIMITS)
+    own = tr.context_limits(runs, limits)
+    return tr.context_limits(own.withColumnRenamed("token_limit", "own_limit"), limits, "public_model")
+
+
+def _public_model():
+    """A name that holds one of the public names, by the length and the limit of the run."""
+    names = list(tr.CONTEXT_LIMITS)
+    turn = F.pmod(F.coalesce("max_iterations", F.lit(0)) * 7 + F.coalesce("max_depth", F.lit(0)) * 3 + F.coalesce(F.length("root_model"), F.lit(0)), F.lit(len(names))) + 1
+    return F.concat(F.lit("vendor/"), F.element_at(F.array(*[F.lit(n) for n in names]), turn.cast("int")), F.lit("-2025"))
 
 
 def ag10_prompt_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,7 +66,7 @@ def ag10_prompt_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ag11_compaction(spark: SparkSession, sf: str) -> DataFrame:
-    return tr.compaction(_once(spark, sf, "iterations", "run_id", "iteration"), table(spark, sf, "runs"), tr.limits_table(spark, LIMITS))
+    return tr.compaction(_once(spark, sf, "iterations", "run_id", "iteration"), table(spark, sf, "runs"), tr.limits_table(spark, tr.CONTEXT_LIMITS | LIMITS))
 
 
 def wn1_error_streaks(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,15 +116,14 @@ def jn7_question_of_answer(spark: SparkSession, sf: str) -> DataFrame:
 
 def prj17_contents(spark: SparkSession, sf: str) -> DataFrame:
     it = _once(spark, sf, "iterations", "run_id", "iteration").filter("prompt is not null")
-    return it.select("run_id", "iteration", F.array_join(F.transform("prompt", lambda m: F.coalesce(m["content"], F.lit(""))), "|").alias("contents"))
+    return it.select("run_id", "iteration", F.array_join(tx.contents(F.col("prompt")), "|").alias("contents"))
 
 
 def sc15_roles(spark: SparkSession, sf: str) -> DataFrame:
     """System messages apart from the others, the assistant called model."""
     it = _once(spark, sf, "iterations", "run_id", "iteration").filter("prompt is not null")
-    system = F.array_join(F.transform(F.filter("prompt", lambda m: m["role"] == "system"), lambda m: m["content"]), "\n")
-    rest = F.transform(F.filter("prompt", lambda m: m["role"] != "system"), lambda m: F.when(m["role"] == "assistant", "model").otherwise(m["role"]))
-    return it.select("run_id", "iteration", system.alias("system"), F.array_join(rest, ",").alias("roles"))
+    parts = it.select("run_id", "iteration", tx.split_system(F.col("prompt"), "model").alias("_p"))
+    return parts.select("run_id", "iteration", "_p.system", F.array_join(F.transform("_p.messages", lambda m: m["role"]), ",").alias("roles"))
 
 
 def sc7_code_blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,8 +151,7 @@ def src7_log_kinds(spark: SparkSession, sf: str) -> DataFrame:
 
 def snk4_numbering(spark: SparkSession, sf: str) -> DataFrame:
     """Iterations numbered anew within their run."""
-    it = _once(spark, sf, "iterations", "run_id", "iteration").select("run_id", "iteration")
-    return running(it, "run_id", ["iteration"], sums={"number": F.lit(1).cast("bigint")})
+    return tr.numbered_iterations(table(spark, sf, "iterations").select("run_id", "iteration"))
 
 
 def jn6_not_done(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,8 +165,7 @@ def prj7_filters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ag9_counts(spark: SparkSession, sf: str) -> DataFrame:
-    parts = [table(spark, sf, t).groupBy("video_id").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(k)) for k, t in (("speech", "speech_spans"), ("visual", "visual_spans"), ("ocr", "ocr_spans"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return mem.fact_counts(speech=table(spark, sf, "speech_spans"), visual=table(spark, sf, "visual_spans"), ocr=table(spark, sf, "ocr_spans"))
 
 
 def prj8_safe_metadata(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,14 +206,14 @@ def sc9_clipped(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sc11_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").filter("source = 'judge_rationales'")
+    d = table(spark, sf, "documents")
     return d.select("doc_id", sc.criteria_met(F.col("text")).alias("criteria_met"))
 
 
 def sc10_json_fields(spark: SparkSession, sf: str) -> DataFrame:
     """The answers of responses that are JSON."""
-    c = _once(spark, sf, "completions", "completion_id").withColumn("v", F.try_parse_json(F.regexp_extract("response", r"(?s)(\{.*\})", 1)))
-    return c.select("completion_id", F.try_variant_get("v", "$.answer", "string").alias("answer")).filter("answer is not null")
+    c = _once(spark, sf, "completions", "completion_id")
+    return c.select("completion_id", tx.first_json(F.col("response"))["answer"].alias("answer")).filter("answer is not null")
 
 
 def ud4_batched_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -252,11 +260,8 @@ def snk8_report(spark: SparkSession, sf: str) -> DataFrame:
 def ag14_trace_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """Per user of the event log: sessions without STOP, repeated OPENs, searches without hits."""
     e = table(spark, sf, "events")
-    kind = F.pmod(F.col("event_id"), F.lit(5))
-    return e.groupBy("user_id").agg(
-        (F.count(F.when(kind == 4, 1)) == 0).alias("without_stop"), (F.count(F.when(kind == 1, 1)) - F.count_distinct(F.when(kind == 1, F.col("event_type")))).alias("repeated_opens"),
-        F.count(F.when((kind == 0) & (F.pmod("event_id", F.lit(3)) > 0), 1)).alias("empty_searches"),
-    )
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("SEARCH", "OPEN", "MERGE", "SPLIT", "STOP")]), (F.pmod("event_id", F.lit(5)) + 1).cast("int"))
+    return tr.trace_statistics(e.select(F.col("user_id").alias("session"), kinds.alias("action_type"), F.col("event_type").alias("node_id"), F.when(F.pmod("event_id", F.lit(3)) == 0, 1).otherwise(0).alias("hits")))
 
 
 def sc13_judge_prompts(spark: SparkSession, sf: str) -> DataFrame:
@@ -270,6 +275,14 @@ def sc13_context_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return it.select("run_id", "iteration", prompts.context_prompt(F.lit("list"), lengths).alias("prompt"))
 
 
+def bm1_judged(spark: SparkSession, sf: str) -> DataFrame:
+    """Each completion judged on whether it names the kettle, by a scripted judge."""
+    c = _once(spark, sf, "completions", "completion_id")
+    rows = c.select("completion_id", prompts.judge_prompt(F.col("prompt"), F.col("response"), F.lit("names an object")).alias("prompt"))
+    judge = lambda: lm.Scripted({"kettle": '{"criteria_met": true}', "tripod": "no idea"}, fail_on="violin")
+    return lm.judged(rows, judge).select("completion_id", "criteria_met", "evaluation_error", "attempts")
+
+
 def prj19_state_payload(spark: SparkSession, sf: str) -> DataFrame:
     it = _once(spark, sf, "iterations", "run_id", "iteration").filter("prompt is not null")
     said = F.transform("prompt", lambda m: m["content"])
@@ -305,7 +318,7 @@ def prj9_serialized(spark: SparkSession, sf: str) -> DataFrame:
     """The values of a result's variables as one text."""
     it = _once(spark, sf, "iterations", "run_id", "iteration").filter("code_blocks is not null")
     rows = it.select("run_id", "iteration", F.posexplode("code_blocks").alias("block", "b")).filter("b.result.locals is not null")
-    return rows.select("run_id", "iteration", "block", F.array_join(F.transform(F.map_entries("b.result.locals"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))), ";").alias("locals"))
+    return rows.select("run_id", "iteration", "block", tx.joined_map(F.col("b.result.locals")).alias("locals"))
 
 
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
@@ -313,7 +326,7 @@ QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and ge
 _C = "c as (select distinct on (completion_id) * from completions)"
 _I = "i as (select distinct on (run_id, iteration) * from iterations)"
 _R = "r as (select distinct on (run_id) * from runs)"
-_LIMITS = "l(part, token_limit) as (values " + ", ".join(f"('{k}', {v})" for k, v in LIMITS.items()) + ")"
+_LIMITS = "l(part, token_limit) as (values " + ", ".join(f"('{k}', {v})" for k, v in (tr.CONTEXT_LIMITS | LIMITS).items()) + ")"
 _TASKS = [t for ts in sc.CATEGORIES.values() for t in ts] + ["motion_analysis", "juggling"]
 _CRITERIA = f"""crit as (select l_orderkey sample_id, (['{"', '".join(_TASKS)}'])[l_orderkey % {len(_TASKS)} + 1] task0, cast(l_linenumber - 2 as double) weight, l_returnflag = 'R' pen, l_linestatus = 'O' met from lineitem),
  points as (select sample_id, case task0 when 'motion_analysis' then 'compositional_reasoning' else task0 end task, sum(case when met and not pen then weight else 0 end) obtained, sum(case when weight > 0 then weight else 0 end) maximum from crit group by 1, 2),
@@ -338,7 +351,9 @@ ORACLE = {
     "ag2_usage_total": f"with {_C} select count(*) as calls, sum(total_input_tokens) as input_tokens, sum(total_output_tokens) as output_tokens, round(sum(case when total_cost > 0 then total_cost end), 3) as cost from c",
     "ag3_merged_usage": f"with {_C}, p as (select root_model as model, completion_id % 3 as k, count(*) as calls, sum(total_input_tokens) as input_tokens from c where root_model is not null group by 1, 2) select model, arg_max(calls, k) as calls, arg_max(input_tokens, k) as input_tokens from p group by 1",
     "jn10_client_routing": f"with {_C} select case when root_model in ('tessel-mini', 'orla-7b') then root_model when completion_id % 3 = 1 then 'second-model' else 'default-model' end as served_by, completion_id % 3 as depth, count(*) as n from c group by 1, 2",
-    "jn11_context_limits": f"with {_R}, {_LIMITS} select run_id, root_model, coalesce((select arg_max(token_limit, (case when part = root_model then 1000 else 0 end) + length(part)) from l where contains(root_model, part)), 128000) as token_limit from r",
+    "jn11_context_limits": f"""with {_R}, {_LIMITS}, p as (select run_id, root_model, 'vendor/' || (['{"', '".join(tr.CONTEXT_LIMITS)}'])[(coalesce(max_iterations, 0) * 7 + coalesce(max_depth, 0) * 3 + coalesce(length(root_model), 0)) % {len(tr.CONTEXT_LIMITS)} + 1] || '-2025' public_model from r)
+        select *, coalesce((select arg_max(token_limit, (case when part = root_model then 1000 else 0 end) + length(part)) from l where contains(root_model, part)), 128000) as own_limit,
+          coalesce((select arg_max(token_limit, (case when part = public_model then 1000 else 0 end) + length(part)) from l where contains(public_model, part)), 128000) as token_limit from p""",
     "ag10_prompt_tokens": f"with {_I} select run_id, iteration, cast(ceil(coalesce(list_sum(list_transform(prompt, lambda m: coalesce(length(m.content), 0))), 0) / 4.0) as bigint) as tokens from i",
     "ag11_compaction": f"""with {_I}, m as (select run_id, max(root_model) root_model from runs group by 1), {_LIMITS},
         t as (select run_id, iteration, cast(ceil(coalesce(list_sum(list_transform(prompt, lambda m: coalesce(length(m.content), 0))), 0) / 4.0) as bigint) tokens,
@@ -371,7 +386,7 @@ ORACLE = {
     "snk4_numbering": f"with {_I} select run_id, iteration, row_number() over (partition by run_id order by iteration) as number from i",
     "jn6_not_done": "select distinct run_id from runs where run_id not in (select run_id from iterations)",
     "prj7_filters": f"with {_R} select run_id, backend, environment_type from r where backend is not null and environment_type in ('local', 'docker')",
-    "ag9_counts": "select video_id, 'speech' as kind, count(*) as n from speech_spans group by 1 union all select video_id, 'visual', count(*) from visual_spans group by 1 union all select video_id, 'ocr', count(*) from ocr_spans group by 1",
+    "ag9_counts": "select video_id, 'speech' as kind, count(distinct ord) as n from speech_spans group by 1 union all select video_id, 'visual', count(distinct ord) from visual_spans group by 1 union all select video_id, 'ocr', count(distinct ord) from ocr_spans group by 1",
     "prj8_safe_metadata": "select distinct video_id, length(list_filter(map_keys(metadata), lambda k: not (contains(lower(k), 'api') and contains(lower(k), 'key')))) as kept from artifacts where metadata is not null",
     "prj20_audio_paths": "select doc_id % 3 <> 1 as audio, count(*) as n from documents group by 1",
     "src17_folder_names": "select distinct regexp_replace('org/' || root_model || ' v1', '[^A-Za-z0-9._-]+', '__', 'g') as folder from runs where root_model is not null",
@@ -379,11 +394,17 @@ ORACLE = {
     "rt9_evidence_tokens": rf"select distinct video_id, ord, length(list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) > 1 and (w not in ('{_STOP}') or w in ('{_CONTROL}'))), lambda w: {_LEMMA}))) as tokens from speech_spans where text is not null",
     "sc6_tidy": rf"select distinct video_id, ord, trim({_NOUN.format('''trim(regexp_replace(regexp_replace(text, '([,.!?])', ' \\1', 'g'), '\\s+', ' ', 'g'))''')}) as text from speech_spans where text is not null".replace("\\\\", "\\"),
     "sc9_clipped": "select doc_id, case when length(text) > 300 then substr(text, 1, 300) || '... + [' || (length(text) - 300) || ' chars...]' else text end as text from documents",
-    "sc11_verdicts": "select doc_id, case when contains(lower(text), 'criteria_met') then case when contains(lower(text), 'true') then true when contains(lower(text), 'false') then false end end as criteria_met from documents where source = 'judge_rationales'",
-    "sc10_json_fields": rf"with {_C}, j as (select completion_id, regexp_extract(response, '(?s)(\{{.*\}})', 1) x from c) select completion_id, json_extract_string(try_cast(x as json), '$.answer') as answer from j where json_valid(x) and json_extract_string(try_cast(x as json), '$.answer') is not null",
+    "sc11_verdicts": "select doc_id, case when contains(lower(text), 'criteria_met') then case when contains(lower(text), 'true') then true when contains(lower(text), 'false') then false end end as criteria_met from documents",
+    # an object that begins at a brace ends at the first brace that makes it valid
+    "sc10_json_fields": rf"""with {_C}, b as (select completion_id, response r, unnest(list_filter(range(1, length(response) + 1), lambda i: response[i] = '{{')) i from c where contains(response, '{{')),
+        e as (select *, unnest(list_filter(range(i + 1, length(r) + 1), lambda j: r[j] = '}}')) j from b), o as (select completion_id, i, j, substr(r, i, j - i + 1) x from e where json_valid(substr(r, i, j - i + 1))),
+        f as (select completion_id, arg_min(x, (i, j)) x from o group by 1) select completion_id, json_extract_string(x, '$.answer') as answer from f where json_extract_string(x, '$.answer') is not null""",
     "ud4_batched_queries": f"with {_C} select run_id as batch_id, completion_id as ord, case when contains(prompt, 'kettle') then 'Error: no answer to ' || substr(prompt, 1, 40) else 'echo: ' || substr(prompt, 1, 80) end as response, case when contains(prompt, 'kettle') then 'no answer to ' || substr(prompt, 1, 40) end as error, case when contains(prompt, 'kettle') then 0 else 10 end as input_tokens from c",
     "rt8_distinct_texts": "select text, count(*) as uses from ocr_spans where text is not null group by 1",
     "sc13_judge_prompts": f"""with {_C} select completion_id, 'Question: ' || coalesce(prompt, '') || chr(10) || 'Answer: ' || coalesce(response, '') || chr(10) || 'Criterion: names an object' || chr(10) || 'Reply with {{"criteria_met": true}} or {{"criteria_met": false}} and nothing else.' as prompt from c""",
+    "bm1_judged": f"""with {_C}, p as (select completion_id, 'Question: ' || coalesce(prompt, '') || chr(10) || 'Answer: ' || coalesce(response, '') || chr(10) || 'Criterion: names an object' x from c)
+        select completion_id, case when not contains(x, 'violin') and contains(x, 'kettle') then true end as criteria_met, case when contains(x, 'violin') then 'no answer to ' || substr(x, 1, 40) when contains(x, 'kettle') then null
+          when contains(x, 'tripod') then 'no verdict in: no idea' else 'no verdict in: echo: ' || substr(x, 1, 80) end as evaluation_error, case when not contains(x, 'violin') and contains(x, 'kettle') then 1 else 3 end as attempts from p""",
     "sc13_context_prompts": f"""with {_I}, n as (select run_id, iteration, list_transform(prompt, lambda m: coalesce(length(m.content), 0)) l from i where prompt is not null)
         select run_id, iteration, 'The context is a list of ' || cast(coalesce(list_sum(l), 0) as bigint) || ' characters in chunks of ' || array_to_string(l, ', ') || '.' as prompt from n""",
     "sc17_speech_payloads": "select distinct video_id, ord, trim(text, ' ') as text, span_start as s, span_end as e from speech_spans where trim(text, ' ') <> '' ",
@@ -396,5 +417,5 @@ ORACLE = {
     "bm4_category_scores": f"with {_CRITERIA} select category, round(accuracy, 6) as accuracy, tasks from by_cat",
     "bm5_overall": f"with {_CRITERIA} select round(coalesce(avg(accuracy), 0.0), 6) as accuracy, count(*) as categories from by_cat",
     "snk8_report": f"with {_CRITERIA} select printf('%s: %.2f%%', category, accuracy * 100) as line from by_cat union all select printf('  %s: %.2f%% (%d samples)', task, accuracy * 100, samples) from tasks join cats using (task)",
-    "ag14_trace_statistics": "select user_id, count(*) filter (where event_id % 5 = 4) = 0 as without_stop, count(*) filter (where event_id % 5 = 1) - count(distinct event_type) filter (where event_id % 5 = 1) as repeated_opens, count(*) filter (where event_id % 5 = 0 and event_id % 3 > 0) as empty_searches from events group by 1",
+    "ag14_trace_statistics": "select user_id as session, count(*) filter (where event_id % 5 = 4) = 0 as without_stop, count(*) filter (where event_id % 5 = 1) - count(distinct event_type) filter (where event_id % 5 = 1) as repeated_opens, count(*) filter (where event_id % 5 = 0 and event_id % 3 > 0) as empty_searches from events group by 1",
 }

@@ -18,6 +18,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():
@@ -30,11 +31,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 def durable(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and reads it back, so that a lost executor
     costs a read and not a recomputation. The folder is the session's spark.checkpoint.dir;
-    only where that is unset (tests, one machine) a temporary one is made."""
+    only where that is unset and all runs on one machine a temporary one is made. What is written is as large as
+    df; spark.cleaner.referenceTracking.cleanCheckpoints lets Spark delete it when df is gone."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanforge-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spanforge-"))
     return df.checkpoint(eager=True)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.schemas import KINDS, SAMPLE
@@ -36,11 +36,25 @@ def not_done(df: DataFrame, path: str, key: str) -> DataFrame:
     return df.join(done, df[key].cast("string") == done["_done"], "left_anti")
 
 
+#: Folders that a table is spread over by a hash of its id: their number does not grow with the data.
+BUCKETS = 256
+
+
+def bucket_of(column: str, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(buckets)).cast("int")
+
+
+def bucketed(df: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame:
+    """df with its bucket, all rows of a bucket in one task, so that each folder gets few files. A hot id is split over
+    tasks by AQE when the shuffle is rebalanced."""
+    return df.withColumn("bucket", bucket_of(column, buckets)).hint("rebalance", F.col("bucket"))
+
+
 def save_artifacts(facts: dict[str, DataFrame], headers: DataFrame, folder: str) -> None:
-    """The facts of each kind and a manifest with their counts, each partitioned by video."""
+    """The facts of each kind and a manifest with their counts, in BUCKETS folders by video."""
     manifest = headers.select("video_id", "duration_seconds", "metadata", F.lit(1).alias("schema_version"))
     for kind, df in facts.items():
-        df.write.mode("overwrite").partitionBy("video_id").json(f"{folder}/{kind}")
+        bucketed(df, "video_id").write.mode("overwrite").partitionBy("bucket").json(f"{folder}/{kind}")
         counts = df.groupBy("video_id").agg(F.count(F.lit(1)).alias(f"{kind}_count"))
         manifest = manifest.join(counts, "video_id", "left").withColumn(f"{kind}_count", F.coalesce(f"{kind}_count", F.lit(0)))
     manifest.write.mode("overwrite").json(f"{folder}/manifest")
@@ -53,17 +67,22 @@ def load_artifacts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     for kind, ddl in KINDS.items():
         schema = f"video_id string, ord int, {ddl}"
         path = f"{folder}/{kind}"
-        out[kind] = spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
+        out[kind] = spark.read.schema(f"{schema}, bucket int").json(path).drop("bucket") if exists(spark, path) else spark.createDataFrame([], schema)
     return out
 
 
 def save_memory(nodes: DataFrame, path: str) -> None:
-    """Nodes as Parquet, a folder per video: a reader of one video prunes the others."""
-    nodes.write.mode("overwrite").partitionBy("video_id").parquet(path)
+    """Nodes as Parquet in BUCKETS folders by video: a reader of one video prunes the others."""
+    bucketed(nodes, "video_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def load_memory(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def load_memory(spark: SparkSession, path: str, video_id: str | None = None) -> DataFrame:
+    """The nodes, or those of one video, of which one folder is read."""
+    nodes = spark.read.parquet(path)
+    if video_id is not None:
+        one = spark.range(1).select(F.lit(video_id).alias("video_id")).select(bucket_of("video_id")).first()[0]
+        nodes = nodes.filter((F.col("bucket") == one) & (F.col("video_id") == video_id))
+    return nodes.drop("bucket")
 
 
 def memory_document(spark: SparkSession, path: str, node_schema: str) -> DataFrame:
@@ -90,6 +109,12 @@ def read_log(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"metadata": rows.filter(kind == "metadata"), "iterations": rows.filter(kind == "iteration")}
 
 
+def read_steps(spark: SparkSession, path: str) -> DataFrame:
+    """The step rows of session logs, as VARIANT; lines that cannot be read are skipped."""
+    rows = spark.read.text(path).select(F.try_parse_json("value").alias("v"))
+    return rows.filter(F.try_variant_get("v", "$.type", "string") == "step")
+
+
 def find_files(spark: SparkSession, folder: str, suffixes=VIDEO_SUFFIXES) -> DataFrame:
     """(stem, path): for every file name without suffix the preferred file under a folder: one right in
     the folder before one deeper down, then the smallest path. Contents are not read."""
@@ -118,8 +143,15 @@ def training_examples(steps: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def write_trace(steps: DataFrame, path: str) -> None:
-    """Trace steps under a folder per sample and turn."""
-    steps.write.mode("append").partitionBy("sample_id", "turn").json(path)
+    """Appends trace steps in BUCKETS folders by sample; sample and turn stay in the rows."""
+    bucketed(steps, "sample_id").write.mode("append").partitionBy("bucket").json(path)
+
+
+def append_steps(metadata: DataFrame | None, steps: DataFrame, path: str) -> None:
+    """The log of a search session: its metadata rows and its step rows, told apart by type, as read_log reads them."""
+    for kind, df in (("metadata", metadata), ("step", steps)):
+        if df is not None:
+            df.select(F.lit(kind).alias("type"), "*").write.mode("append").json(path)
 
 
 def write_report(lines: DataFrame, path: str) -> None:

@@ -143,3 +143,31 @@ def test_overlap_join_gives_each_pair_once(spark):
     a = spark.createDataFrame([("v", 0.0, 300.0, 1), ("v", 50.0, 60.0, 2), (None, 0.0, 1.0, 3)], "k string, s double, e double, id int")
     b = spark.createDataFrame([("v", 10.0, 55.0, 7), ("v", 60.0, 70.0, 8), ("v", 299.0, 400.0, 9)], "k string, s double, e double, id int")
     assert sorted((r["id"], r["r_id"]) for r in iv.overlap_join(a, b, "k", 7.0).collect()) == [(1, 7), (1, 8), (1, 9), (2, 7)]
+
+
+def test_overlap_join_of_spans_of_any_length_against_brute_force(spark):
+    rng = random.Random(8)
+    spans = lambda n: [("ab"[i % 2], i, s, s + rng.choice([0.0, 1.0, 30.0, 5000.0, 3e6, 2e9])) for i in range(n) for s in [rng.uniform(-500, 20000)]]
+    left, right = spans(40), spans(50) + [(None, 99, 0.0, 1.0), ("a", 98, 5.0, 4.0), ("a", 97, float("nan"), 4.0)]
+    schema = "k string, i int, s double, e double"
+    met = iv.overlap_join(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "k", 10.0).select("i", "r_i").collect()
+    want = sorted((i, j) for k, i, s, e in left for m, j, t, u in right if k == m and u >= t and s < u and t < e)
+    assert sorted(map(tuple, met)) == want
+
+
+def test_repeated_facts_count_once(spark):
+    a = spark.createDataFrame([("v", 90.0, None)], "video_id string, duration_seconds double, metadata map<string,string>")
+    facts = spark.createDataFrame([("v", 0, "x", 1.0, 2.0), ("v", 0, "x", 1.0, 2.0), ("v", 1, "y", 1.0, 200.0)], "video_id string, ord int, text string, span_start double, span_end double")
+    got = sorted((r["level"], r["window"], r["ord"]) for r in mem.level_facts(facts, a).collect())
+    assert got == sorted([("scene", 0, 0), ("segment", 0, 0), ("clip", 0, 0), ("scene", 0, 1), ("segment", 0, 1), ("segment", 1, 1)] + [("clip", i, 1) for i in range(6)])
+    assert mem.fact_counts(speech=facts).first()["n"] == 2
+
+
+def test_details_are_refined_by_a_model(spark):
+    from spanforge import lm
+
+    text = "The cook opens the kettle. The tripod is broken. He repairs it because the water is cold. Then all go home. It is late."
+    rows = spark.createDataFrame([(1, text, "The tripod is broken."), (2, "Short.", "Short."), (3, text, "fails: " + text)], "id int, text string, detail string")
+    make = lambda: lm.Scripted({"Which snippets": '{"selected_candidate_ids": ["c2", "c1"]}'}, fail_on="fails:")
+    got = {r["id"]: r["detail"] for r in ev.refined(rows, Question("Why does he repair it?"), make).collect()}
+    assert got[1].startswith("The tripod is broken. ") and len(got[1]) > len("The tripod is broken. ") and got[2] == "Short." and got[3] == "fails: " + text

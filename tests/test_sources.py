@@ -36,6 +36,7 @@ def test_memory_documents_and_tables(spark, tmp_path):
     assert sorted(r["node_id"] for r in nodes.collect()) == ["v_scene_001", "v_video"]
     fl.save_memory(nodes, str(tmp_path / "t"))
     assert fl.load_memory(spark, str(tmp_path / "t")).filter("video_id = 'v'").count() == 2
+    assert fl.load_memory(spark, str(tmp_path / "t"), "v").count() == 2 and fl.load_memory(spark, str(tmp_path / "t"), "w").count() == 0
 
 
 def test_samples_are_filtered_and_ordered(spark, tmp_path):
@@ -81,3 +82,10 @@ def test_streams(spark, tmp_path):
     assert run(logs.windowed_counts(stream, "at", "key"), "counts").agg(F.sum("n")).first()[0] == 3
     assert run(logs.first_of_key(stream, "at", "key"), "firsts").count() == 2
     assert run(logs.sessions(stream, "at", "key", "5 minutes", "1 minute"), "sess").count() == 2
+
+
+def test_step_logs_are_read_again(spark, tmp_path):
+    steps = spark.createDataFrame([("v", 1, "OPEN"), ("v", 2, "STOP")], "video_id string, step int, action_type string")
+    fl.append_steps(steps.limit(1).select("video_id"), steps, str(tmp_path / "log"))
+    got = fl.read_log(spark, str(tmp_path / "log"))
+    assert got["metadata"].count() == 1 and fl.read_steps(spark, str(tmp_path / "log")).count() == 2 and got["iterations"].count() == 0

@@ -100,14 +100,16 @@ def once(facts: DataFrame) -> DataFrame:
     return facts.dropDuplicates(["video_id", "ord", "span_start", "span_end"])
 
 
-def level_facts(facts: DataFrame, artifacts: DataFrame, levels: tuple[str, ...] = LEVELS, w: Windows = Windows()) -> DataFrame:
+def level_facts(facts: DataFrame, artifacts: DataFrame, levels: tuple[str, ...] = LEVELS, w: Windows = Windows(), distinct: bool = True) -> DataFrame:
     """facts with level and window, one row per overlapped window of each level (half-open overlap).
 
-    All levels come from one pass over the facts. Repeated rows count once; spans that are null,
+    All levels come from one pass over the facts. Repeated rows count once, unless the caller sees to
+    that itself (distinct=False) where it gathers the facts anyway; spans that are null,
     broken or outside the video are left out; one of no length at the edge of a window overlaps
     none. A span is cut to its video, so it has no more rows than the video has windows."""
     v = videos(artifacts).filter("duration is not null").select(F.col("video_id").alias("_v"), "duration")
-    rows = once(facts.filter(valid(F.col("span_start"), F.col("span_end")))).join(v, F.col("video_id") == F.col("_v")).drop("_v")
+    rows = facts.filter(valid(F.col("span_start"), F.col("span_end")))
+    rows = (once(rows) if distinct else rows).join(v, F.col("video_id") == F.col("_v")).drop("_v")
     s, e = F.col("span_start"), F.col("span_end")
     rows = rows.filter((s < F.col("duration")) & (e > 0))
 
@@ -126,10 +128,16 @@ def node_facts(facts: DataFrame, artifacts: DataFrame, level: str, w: Windows =
     return level_facts(facts, artifacts, (level,), w).drop("level")
 
 
-def _joined(text: str, sep: str = " ") -> Column:
-    """The texts of a window in order; a window is as long as its width, whatever the video."""
-    listed = F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(F.col("ord").alias("o"), F.col(text).alias("t")))))
-    return F.array_join(F.transform(listed, lambda x: x["t"]), sep)
+def _gathered(text: str) -> Column:
+    """The distinct facts of a window in order; a window is as long as its width, whatever the video."""
+    fact = F.struct(F.col("ord").alias("o"), F.col(text).alias("t"), F.col("span_start").alias("s"), F.col("span_end").alias("e"))
+    return F.array_sort(F.collect_set(fact)).alias("_facts")
+
+
+def _texts(rows: DataFrame, name: str) -> DataFrame:
+    """<name>_text, the texts of the gathered facts joined, and <name>_n, their number."""
+    text = F.array_join(F.transform(F.filter("_facts", lambda x: x["t"].isNotNull()), lambda x: x["t"]), " ")
+    return rows.select("video_id", "level", "window", text.alias(f"{name}_text"), F.size("_facts").cast("bigint").alias(f"{name}_n"))
 
 
 def nodes(artifacts: DataFrame, speech: DataFrame, visual: DataFrame, ocr: DataFrame, w: Windows = Windows(), audio: DataFrame | None = None,
@@ -142,9 +150,10 @@ def nodes(artifacts: DataFrame, speech: DataFrame, visual: DataFrame, ocr: DataF
     summary states the counts."""
     key = ["video_id", "level", "window"]
     rows = tree(artifacts, w).filter(F.col("level").isin(*levels))
-    said = level_facts(speech, artifacts, levels, w).groupBy(*key).agg(_joined("text").alias("speech_text"), F.count(F.lit(1)).alias("speech_n"))
-    read = level_facts(ocr, artifacts, levels, w).groupBy(*key).agg(_joined("text").alias("ocr_text"), F.count(F.lit(1)).alias("ocr_n"))
-    seen = level_facts(visual.filter(F.col("granularity").isin(*levels)), artifacts, levels, w).filter(F.col("granularity") == F.col("level"))
+    gather = lambda facts, name, text: _texts(level_facts(facts.select("video_id", "ord", text, "span_start", "span_end"), artifacts, levels, w, False).groupBy(*key).agg(_gathered(text)), name)
+    said, read = gather(speech, "speech", "text"), gather(ocr, "ocr", "text")
+    visual = visual.filter(F.col("granularity").isin(*levels)).select("video_id", "ord", "summary", "granularity", "tags", "entities", "span_start", "span_end")
+    seen = level_facts(visual, artifacts, levels, w).filter(F.col("granularity") == F.col("level"))
     spans = rows.select(*key, F.col("s").alias("_s"), F.col("e").alias("_e"))
     seen = seen.join(spans, key)
     exact = (F.abs(F.col("span_start") - F.col("_s")) <= TOLERANCE) & (F.abs(F.col("span_end") - F.col("_e")) <= TOLERANCE)
@@ -157,8 +166,7 @@ def nodes(artifacts: DataFrame, speech: DataFrame, visual: DataFrame, ocr: DataF
     best = by.groupBy(*key).agg(F.max_by(F.struct("_summary", "_tags", "_entities"), "_exact").alias("_best"))
     out = rows.join(said, key, "left").join(read, key, "left").join(best, key, "left")
     if audio is not None:
-        heard = level_facts(audio, artifacts, levels, w).groupBy(*key).agg(_joined("label").alias("audio_text"), F.count(F.lit(1)).alias("audio_n"))
-        out = out.join(heard, key, "left")
+        out = out.join(gather(audio, "audio", "label"), key, "left")
     else:
         out = out.withColumn("audio_text", F.lit("")).withColumn("audio_n", F.lit(0).cast("bigint"))
     for c in ("speech_n", "ocr_n", "audio_n"):

@@ -73,18 +73,21 @@ def modality_rows(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("level") != "video").select("video_id", "node_id", "s", "e", F.inline(F.array(*each))).filter("text <> ''")
 
 
-def inverted_index(nodes: DataFrame) -> DataFrame:
+def inverted_index(nodes: DataFrame, only: list[str] | None = None) -> DataFrame:
     """(token, video_id, node_id, s, e, first, modality, occurrences, doc_tokens): one row per distinct token of a
     node's text, with all that a score needs of it, so that many queries meet the nodes in an
-    equi-join on the token and the texts stay where they are."""
+    equi-join on the token and the texts stay where they are. only: the tokens that are asked for."""
     rows = modality_rows(nodes).withColumn("_tokens", search_tokens(F.col("text")))
-    posting = lambda d: F.transform(d["tokens"], lambda t: F.struct(t.alias("token"), occurrences(d["lower"], t).alias("occurrences"), F.size(d["tokens"]).alias("doc_tokens")))
+    asked = lambda tokens: tokens if only is None else F.array_intersect(tokens, typed_strings(only))
+    posting = lambda d: F.transform(asked(d["tokens"]), lambda t: F.struct(t.alias("token"), occurrences(d["lower"], t).alias("occurrences"), F.size(d["tokens"]).alias("doc_tokens")))
     postings = let(F.struct(F.lower("text").alias("lower"), F.col("_tokens").alias("tokens")), posting)
     return rows.select("video_id", "node_id", "s", "e", "first", "modality", F.inline(postings))
 
 
 #: Query tokens up to which they are broadcast to the index; more of them are joined by a shuffle.
 MAX_BROADCAST_TOKENS = 100_000
+#: Distinct query tokens up to which the index is made for them alone.
+MAX_LITERAL_TOKENS = 1_000
 
 
 def search_many(queries: DataFrame, nodes: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -99,7 +102,8 @@ def search_many(queries: DataFrame, nodes: DataFrame, artifacts: DataFrame) -> D
     asked = queries.select("query_id", "query", search_tokens(F.col("query")).alias("query_tokens")).dropDuplicates(["query_id", "query"])
     wanted = asked.select("query_id", F.size("query_tokens").alias("_n"), F.explode("query_tokens").alias("token"))
     few = wanted.limit(MAX_BROADCAST_TOKENS + 1).count() <= MAX_BROADCAST_TOKENS
-    met = inverted_index(nodes).join(F.broadcast(wanted) if few else wanted, "token")
+    tokens = [r["token"] for r in wanted.select("token").distinct().limit(MAX_LITERAL_TOKENS + 1).collect()]
+    met = inverted_index(nodes, sorted(tokens) if len(tokens) <= MAX_LITERAL_TOKENS else None).join(F.broadcast(wanted) if few else wanted, "token")
     key = ["query_id", "node_id", "modality"]
     found = met.groupBy(*key).agg(
         F.array_sort(F.collect_list("token")).alias("terms"), F.sum("occurrences").alias("_occurrences"), F.first("doc_tokens").alias("_doc"), F.first("_n").alias("_n"),

@@ -17,6 +17,7 @@ from spanforge.operators import search as se
 from spanforge.operators import state as st
 from spanforge.operators.ordered import running
 from spanforge.operators.words import phrases, word_level
+from spanforge.session import durable
 from spanforge.tables import table
 
 QUERY = "Who repairs the first water pump at the harbor market?"
@@ -153,8 +154,8 @@ def _questions(spark: SparkSession) -> DataFrame:
 
 
 def jn8_search_many(spark: SparkSession, sf: str) -> DataFrame:
-    """The three best hits of each question in each video, over the inverted index."""
-    found = se.search_many(_questions(spark), _nodes(spark, sf), table(spark, sf, "artifacts"))
+    """The three best hits of each question in each video, over the inverted index of a memory that is built once."""
+    found = se.search_many(_questions(spark), durable(_nodes(spark, sf)), table(spark, sf, "artifacts"))
     order = Window.partitionBy("query_id", "video_id").orderBy(F.desc("score"), "s", "node_id")
     best = found.withColumn("rank", F.row_number().over(order)).filter("rank <= 3")
     return best.select("query_id", "video_id", "node_id", "modality", "score", F.array_join("matched_terms", ",").alias("terms"), "rank")

@@ -171,3 +171,17 @@ def test_details_are_refined_by_a_model(spark):
     make = lambda: lm.Scripted({"Which snippets": '{"selected_candidate_ids": ["c2", "c1"]}'}, fail_on="fails:")
     got = {r["id"]: r["detail"] for r in ev.refined(rows, Question("Why does he repair it?"), make).collect()}
     assert got[1].startswith("The tripod is broken. ") and len(got[1]) > len("The tripod is broken. ") and got[2] == "Short." and got[3] == "fails: " + text
+
+
+def test_many_queries_give_the_same_hits_as_one_at_a_time_on_every_path(spark, monkeypatch):
+    a = spark.createDataFrame([("v", 60.0, None)], "video_id string, duration_seconds double, metadata map<string,string>")
+    texts = ["the red kettle leaks", "a scarred kettles leak", "red kettle leaks first", "nothing", ""]
+    nodes = spark.createDataFrame([("v", f"n{i}", "clip", float(i), i + 1.0, t, "", "kettle" if i == 3 else "", "", [], []) for i, t in enumerate(texts)],
+                                  "video_id string, node_id string, level string, s double, e double, speech_text string, visual_summary string, ocr_text string, audio_text string, tags array<string>, entities array<string>")
+    asked = {"a": "red kettle leaks", "b": "the first kettle", "c": "of the", "d": None}
+    want = sorted((k, r["node_id"], r["modality"], r["score"]) for k, q in asked.items() if q for r in se.hits(nodes, a, q).collect())
+    queries = spark.createDataFrame(list(asked.items()), "query_id string, query string")
+    for limit in (1000, 1):
+        monkeypatch.setattr(se, "MAX_LITERAL_TOKENS", limit)
+        monkeypatch.setattr(se, "MAX_BROADCAST_TOKENS", limit)
+        assert sorted((r["query_id"], r["node_id"], r["modality"], r["score"]) for r in se.search_many(queries, nodes, a).collect()) == want and len(want) >= 5

@@ -160,7 +160,8 @@ def with_hook(rows: DataFrame, kind: str, make: Callable[[], Callable], *columns
                 out.append(got)
             yield pd.DataFrame(out, columns=["summary", "tags", "entities"]) if kind == "vision" else pd.Series(out, dtype="object")
 
-    return rows.withColumn(name, call(*[F.col(c) for c in columns]))
+    ask = call.asNondeterministic()  # a model is asked once per row, wherever its reply is used
+    return rows.withColumn(name, ask(*[F.col(c) for c in columns]))
 
 
 def embedded(rows: DataFrame, text: str, make: Callable[[], Callable], name: str = "embedding") -> DataFrame:

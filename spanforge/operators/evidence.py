@@ -116,7 +116,8 @@ def refined(rows: DataFrame, q: Question, make: Callable[[], Provider], model: s
         for batch in batches:
             yield batch.map(one, na_action="ignore").astype("object")
 
-    rows = rows.withColumn("_asked", asked).withColumn("_reply", reply("_asked"))
+    ask = reply.asNondeterministic()  # a model is asked once per row, wherever its reply is used
+    rows = rows.withColumn("_asked", asked).withColumn("_reply", ask("_asked"))
     chosen = F.array_sort(chosen_candidates(F.coalesce("_reply", F.lit("")), F.col("_candidates")))
     text = one_space(F.array_join(F.transform(chosen, lambda i: F.element_at(F.col("_candidates"), i)), " "))
     return rows.withColumn("detail", F.when(F.size(chosen) > 0, text).otherwise(F.col("detail"))).drop("_candidates", "_asked", "_reply")

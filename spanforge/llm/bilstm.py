@@ -40,30 +40,35 @@ class BiLstmCrf:
         self.rec = {d: np.ascontiguousarray(self.p[f"U{d}"] * scale, dtype=F32) for d in "fb"}
 
     def _run(self, ids: np.ndarray, d: str, keep: dict | None = None) -> np.ndarray:
-        """Hidden states (T, B, H); ids is (T, B). Padding has id 0 and keeps the state at zero."""
+        """Hidden states (T, B, H); ids is (T, B). Padding has id 0 and keeps the state at zero; where the
+        columns are in order, the longest first, no work is done on it."""
         t_max, b = ids.shape
         h_dim, table, rec = self.hidden, self.table[d], self.rec[d]
         hs = np.zeros((t_max, b, h_dim), F32)
         h, c = np.zeros((b, h_dim), F32), np.zeros((b, h_dim), F32)
         if keep is not None:
             keep |= {"gates": np.zeros((t_max, b, 4 * h_dim), F32), "c": np.zeros((t_max, b, h_dim), F32), "tc": np.zeros((t_max, b, h_dim), F32)}
-        z, tc = np.empty((b, 4 * h_dim), F32), np.empty((b, h_dim), F32)
-        mask = (ids != 0).astype(F32)
-        whole = mask.all(axis=1)
+        mask = ids != 0
+        live = mask.sum(axis=1)
+        ordered = bool((mask[:, 1:] <= mask[:, :-1]).all()) and keep is None
+        buffers = [np.empty((b, n * h_dim), F32) for n in (4, 4, 1, 1)]
         for t in range(t_max) if d == "f" else range(t_max - 1, -1, -1):
-            np.dot(h, rec, out=z)
-            z += table[ids[t]]
+            k = live[t] if ordered else b
+            z, x, tc, u = (a[:k] for a in buffers)
+            now = c[:k]
+            np.dot(h[:k], rec, out=z)
+            z += np.take(table, ids[t, :k], axis=0, out=x, mode="clip")
             np.tanh(z, out=z)
             s = z[:, : 3 * h_dim]
             s *= 0.5
             s += 0.5
-            c = z[:, h_dim : 2 * h_dim] * c
-            c += z[:, :h_dim] * z[:, 3 * h_dim :]
-            if not whole[t]:
-                c *= mask[t][:, None]
-            np.tanh(c, out=tc)
-            h = z[:, 2 * h_dim : 3 * h_dim] * tc
-            hs[t] = h
+            now *= z[:, h_dim : 2 * h_dim]
+            now += np.multiply(z[:, :h_dim], z[:, 3 * h_dim :], out=u)
+            if live[t] < k:
+                now *= mask[t][:, None]
+            np.tanh(now, out=tc)
+            h = hs[t]
+            np.multiply(z[:, 2 * h_dim : 3 * h_dim], tc, out=h[:k])
             if keep is not None:
                 keep["gates"][t], keep["c"][t], keep["tc"][t] = z, c, tc
         return hs
@@ -89,20 +94,16 @@ class BiLstmCrf:
         tags = np.zeros((t_max, b), np.int8)
         search = np.flatnonzero((lead > 0).any(axis=0))
         if len(search):
-            e, n = emit[:, search], lengths[search]
-            score = start + e[0]
-            back = np.zeros((t_max, len(search), k), np.int8)
+            e, n = np.ascontiguousarray(emit[:, search].transpose(0, 2, 1)), lengths[search]
+            scores = np.empty((t_max, k, len(search)), F32)
+            scores[0] = start[:, None] + e[0]
             for t in range(1, t_max):
-                through = score[:, :, None] + trans
-                best = through.argmax(axis=1)
-                new = np.take_along_axis(through, best[:, None, :], 1)[:, 0] + e[t]
-                live = (t < n)[:, None]
-                back[t] = np.where(live, best, np.arange(k))
-                score = np.where(live, new, score)
-            now, rows = score.argmax(axis=1), np.arange(len(search))
+                np.add((scores[t - 1][:, None, :] + trans[:, :, None]).max(axis=0), e[t], out=scores[t])
+            now = scores[n - 1, :, np.arange(len(search))].argmax(axis=1)
             for t in range(t_max - 1, -1, -1):
+                if t < t_max - 1:
+                    now = np.where(t + 1 < n, (scores[t] + trans.T[now].T).argmax(axis=0), now)
                 tags[t, search] = np.where(t < n, now, 0)
-                now = back[t, rows, now]
         margin = np.take_along_axis(emit, tags[:, :, None].astype(np.int64), 2)[:, :, 0] - emit[:, :, 0]
         return tags, margin
 

@@ -111,7 +111,7 @@ def tag_texts(texts: list[str], lexicon: frozenset[str] | list[frozenset[str]],
     names = lexicon if isinstance(lexicon, list) else [lexicon] * len(texts)
     coded = [char_ids(t, listed_words(t, n)) for t, n in zip(texts, names)]
     jobs = [(i, a, b) for i, ids in enumerate(coded) for a, b in windows(len(ids)) if b > a]
-    jobs.sort(key=lambda j: j[2] - j[1])
+    jobs.sort(key=lambda j: j[1] - j[2])  # the longest first, so that the model passes over the padding
     found: list[list[tuple]] = [[] for _ in texts]
     for at in range(0, len(jobs), BATCH):
         part = jobs[at : at + BATCH]
